@@ -28,7 +28,7 @@ from pyspark.sql import Window
 from liftwise.functions.hashing import user_order_hash
 from liftwise.operators import filters as fl
 from liftwise.operators.normalize import canonical_agg
-from liftwise.session import broadcast_if_small
+from liftwise.session import pin_if_small
 
 # At most this many flags or event names are pushed into the scan as literals.
 MAX_PUSHED_KEYS = 200
@@ -59,63 +59,103 @@ class DesignFilters:
 NO_FILTERS = DesignFilters()
 
 
-def _pushdown(df: DataFrame, design: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Filter a scan by the few distinct keys a design table asks for.
+@dataclass(frozen=True)
+class Design:
+    """Runs and metric specs, read once and checked to be small enough to broadcast.
 
-    At most ``MAX_PUSHED_KEYS + 1`` rows reach the driver; with more distinct
-    keys the scan stays unfiltered and the join does the work.
+    ``window`` spans all runs; ``flags`` and ``events`` are the distinct keys to
+    push into the scans, or ``None`` when there are too many or the design is
+    too large to be held.
     """
-    found = design.select(*keys).distinct().limit(MAX_PUSHED_KEYS + 1).collect()
-    if len(found) > MAX_PUSHED_KEYS:
-        return df
-    for i, key in enumerate(keys):
-        df = df.where(F.col(key).isin(sorted({row[i] for row in found if row[i] is not None})))
-    return df
 
+    runs: DataFrame
+    specs: DataFrame | None
+    window: tuple[dt.date, dt.date] | None
+    flags: tuple[list[str], list[str]] | None
+    events: tuple[list[str], list[str]] | None
+
+    @property
+    def metrics(self) -> DataFrame:
+        if self.specs is None:
+            raise ValueError("this design was loaded without metric specs")
+        return self.specs
 
-def _overall_window(runs: DataFrame) -> tuple[dt.date, dt.date] | None:
-    row = runs.agg(F.min("start_date"), F.max("end_date")).first()
-    return None if row is None or row[0] is None or row[1] is None else (row[0], row[1])
 
+_RUN_COLUMNS = ("run_id", "env_id", "flag_key", "start_date", "end_date")
+_RUN_OPTIONS = ("method", "traffic_percent", "traffic_offset", "layer_id", "audience_filters", "experiment_id")
+_SPEC_COLUMNS = ("run_id", "env_id", "metric_ord", "role", "event_name", "metric_type", "metric_agg", "inverse")
 
-def _restrict(df: DataFrame, runs: DataFrame) -> DataFrame:
-    window = _overall_window(runs)
-    return df if window is None else fl.scan_window(df, *window)
 
+def _distinct_keys(rows: list[dict] | None, *columns: str) -> tuple[list[str], list[str]] | None:
+    if rows is None:
+        return None
+    found = [sorted({row[c] for row in rows if row[c] is not None}) for c in columns]
+    return None if any(len(values) > MAX_PUSHED_KEYS for values in found) else (found[0], found[1])
 
-def exposures_in_runs(evals: DataFrame, runs: DataFrame, design: DesignFilters = NO_FILTERS) -> DataFrame:
-    """Evaluations paired with every run of their flag whose window covers them.
 
-    ``runs`` needs run_id, env_id, flag_key, start_date, end_date, plus the
-    columns of the filters that are switched on.
+def load_design(runs: DataFrame, specs: DataFrame | None = None) -> Design:
+    """Read the design tables; each costs one bounded job.
+
+    ``runs`` needs run_id, env_id, flag_key, start_date, end_date and may carry
+    the columns the optional filters use. ``specs`` comes from ``metric_specs``.
     """
-    wanted = ["run_id", "env_id", "flag_key", "start_date", "end_date"]
-    slim = runs.select(*wanted, *[F.col(c).alias(f"run_{c}") for c in design.columns()])
-    evals = _pushdown(_restrict(evals, slim), slim, ["env_id", "flag_key"])
-    if design.audience:
+    options = [c for c in _RUN_OPTIONS if c in runs.columns]
+    slim, rows = pin_if_small(runs.select(*_RUN_COLUMNS, *options))
+    if rows is None:
+        bounds = slim.agg(F.min("start_date"), F.max("end_date")).first()
+        window = None if bounds[0] is None or bounds[1] is None else (bounds[0], bounds[1])
+    else:
+        starts = [row["start_date"] for row in rows if row["start_date"] is not None]
+        ends = [row["end_date"] for row in rows if row["end_date"] is not None]
+        window = (min(starts), max(ends)) if starts and ends else None
+    metrics, metric_rows = (None, None)
+    if specs is not None:
+        canonical = canonical_agg(F.col("metric_type"), F.col("metric_agg"))
+        metrics, metric_rows = pin_if_small(specs.select(*_SPEC_COLUMNS).withColumn("metric_agg", canonical))
+    return Design(
+        slim, metrics, window,
+        _distinct_keys(rows, "env_id", "flag_key"), _distinct_keys(metric_rows, "env_id", "event_name"),
+    )
+
+
+def _scan(df: DataFrame, design: Design, keys: tuple[list[str], list[str]] | None, key: str) -> DataFrame:
+    """Restrict a scan to the months, instants and keys the design asks for."""
+    if design.window is not None:
+        df = fl.scan_window(df, *design.window)
+    if keys is not None:
+        df = df.where(F.col("env_id").isin(keys[0]) & F.col(key).isin(keys[1]))
+    return df
+
+
+def exposures_in_runs(evals: DataFrame, design: Design, options: DesignFilters = NO_FILTERS) -> DataFrame:
+    """Evaluations paired with every run of their flag whose window covers them."""
+    slim = design.runs.select(*_RUN_COLUMNS, *[F.col(c).alias(f"run_{c}") for c in options.columns()])
+    if options.audience:
         slim = slim.withColumn("run_rules", fl.audience_rules(F.col("run_audience_filters")))
-    paired = evals.join(broadcast_if_small(slim), ["env_id", "flag_key"]).where(
-        fl.in_window(F.col("timestamp"), F.col("start_date"), F.col("end_date"))
+    paired = (
+        _scan(evals, design, design.flags, "flag_key")
+        .join(slim, ["env_id", "flag_key"])
+        .where(fl.in_window(F.col("timestamp"), F.col("start_date"), F.col("end_date")))
     )
-    if design.traffic:
+    if options.traffic:
         paired = paired.where(
             fl.user_in_traffic_slice(
                 F.col("user_key"), F.col("flag_key"), F.col("run_traffic_percent"), F.col("run_traffic_offset")
             )
         )
-    if design.layer:
+    if options.layer:
         paired = paired.where(fl.in_layer(F.col("layer_id"), F.col("run_layer_id")))
-    if design.audience:
+    if options.audience:
         paired = paired.where(fl.in_audience(F.col("user_properties"), F.col("run_rules")))
-    if design.experiment:
+    if options.experiment:
         paired = paired.where(F.col("experiment_id") == F.col("run_experiment_id"))
     return paired
 
 
 def first_exposures(
     evals: DataFrame,
-    runs: DataFrame,
-    design: DesignFilters = NO_FILTERS,
+    design: Design,
+    options: DesignFilters = NO_FILTERS,
     carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per (run, user): the first variant seen and when.
@@ -128,7 +168,7 @@ def first_exposures(
     minimum over a struct would sort every input row.
     """
     carry = carry or {}
-    rows = exposures_in_runs(evals, runs, design).select(
+    rows = exposures_in_runs(evals, design, options).select(
         "run_id", "env_id", "user_key", "variant", F.col("timestamp").alias("ts"),
         *[c.alias(name) for name, c in carry.items()],
     )
@@ -144,20 +184,20 @@ def first_exposures(
     )
 
 
-def balance_exposures(exposures: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+def balance_exposures(exposures: DataFrame, design: Design | None = None) -> DataFrame:
     """Cap every variant of a run at its smallest variant's user count.
 
     Users are kept in the order of a hash of their key. The cut is found from
     per-bucket counts of the hash's first four digits (65,536 buckets), and users
     are ranked inside their bucket only, so no task ever sorts a whole variant.
-    With ``runs`` given, bandit runs pass through uncut.
+    With a design given, its bandit runs pass through uncut.
     """
     keyed = exposures.withColumn("_h", user_order_hash(F.col("user_key"))).withColumn(
         "_b", F.substring("_h", 1, 4)
     )
-    if runs is not None:
-        methods = runs.select("run_id", F.coalesce("method", F.lit("bayesian_ab")).alias("_method"))
-        keyed = keyed.join(broadcast_if_small(methods), "run_id", "left")
+    if design is not None and "method" in design.runs.columns:
+        methods = design.runs.select("run_id", F.coalesce("method", F.lit("bayesian_ab")).alias("_method"))
+        keyed = keyed.join(methods, "run_id", "left")
     else:
         keyed = keyed.withColumn("_method", F.lit("bayesian_ab"))
     buckets = keyed.groupBy("run_id", "variant", "_b").agg(F.count("*").alias("_in"))
@@ -180,10 +220,10 @@ def balance_exposures(exposures: DataFrame, runs: DataFrame | None = None) -> Da
     return kept.select(*exposures.columns)
 
 
-def srm_denominators(evals: DataFrame, runs: DataFrame) -> DataFrame:
+def srm_denominators(evals: DataFrame, design: Design) -> DataFrame:
     """Evaluations against distinct users per (run, variant): the wrong and right sample sizes."""
     per_user = (
-        exposures_in_runs(evals, runs)
+        exposures_in_runs(evals, design)
         .groupBy("run_id", "variant", "user_key")
         .agg(F.count("*").alias("evals"))
     )
@@ -194,27 +234,30 @@ def srm_denominators(evals: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def _events_for(events: DataFrame, runs: DataFrame, specs: DataFrame) -> DataFrame:
-    """Metric events any run asks for, with only the columns attribution needs."""
-    wanted = specs.select("env_id", "event_name").distinct()
-    events = _pushdown(_restrict(events, runs), wanted, ["env_id", "event_name"])
-    return events.join(broadcast_if_small(wanted), ["env_id", "event_name"], "left_semi").select(
+def attributed_events(events: DataFrame, exposures: DataFrame, design: Design) -> DataFrame:
+    """Events at or after their user's first exposure, inside the run's window, one row per metric.
+
+    Events no run asks for are dropped before the shuffle, as are all columns
+    but five.
+    """
+    wanted = design.metrics.select("env_id", "event_name").distinct()
+    found = _scan(events, design, design.events, "event_name").select(
         "env_id", "user_key", "event_name",
         F.col("timestamp").alias("event_ts"),
         F.coalesce("numeric_value", F.lit(0.0)).alias("value"),
     )
-
-
-def attributed_events(events: DataFrame, exposures: DataFrame, runs: DataFrame, specs: DataFrame) -> DataFrame:
-    """Events at or after their user's first exposure, inside the run's window, one row per metric."""
-    ends = runs.select("run_id", F.col("start_date").alias("_from"), F.col("end_date").alias("_to"))
-    spec = specs.select("run_id", "event_name", "metric_ord", "metric_agg")
-    bounded = exposures.join(broadcast_if_small(ends), "run_id")
-    joined = bounded.join(_events_for(events, runs, specs), ["env_id", "user_key"]).where(
-        (F.col("event_ts") >= F.col("exposure_ts"))
-        & fl.in_window(F.col("event_ts"), F.col("_from"), F.col("_to"))
+    if design.events is None:
+        found = found.join(wanted, ["env_id", "event_name"], "left_semi")
+    ends = design.runs.select("run_id", F.col("start_date").alias("_from"), F.col("end_date").alias("_to"))
+    spec = design.metrics.select("run_id", "event_name", "metric_ord", "metric_agg")
+    return (
+        exposures.join(found, ["env_id", "user_key"])
+        .where(F.col("event_ts") >= F.col("exposure_ts"))
+        .join(ends, "run_id")
+        .where(fl.in_window(F.col("event_ts"), F.col("_from"), F.col("_to")))
+        .drop("_from", "_to")
+        .join(spec, ["run_id", "event_name"])
     )
-    return joined.drop("_from", "_to").join(broadcast_if_small(spec), ["run_id", "event_name"])
 
 
 def contribution(agg: Column, events: Column, total: Column) -> Column:
@@ -232,7 +275,7 @@ def contribution(agg: Column, events: Column, total: Column) -> Column:
 
 
 def user_totals(
-    events: DataFrame, exposures: DataFrame, runs: DataFrame, specs: DataFrame, by: Sequence[str] = ()
+    events: DataFrame, exposures: DataFrame, design: Design, by: Sequence[str] = ()
 ) -> DataFrame:
     """Count, sum and mean of a user's attributed events per (run, metric).
 
@@ -241,21 +284,21 @@ def user_totals(
     """
     keys = ["run_id", "env_id", "user_key", "variant", *by, "metric_ord", "event_name", "metric_agg"]
     return (
-        attributed_events(events, exposures, runs, specs)
+        attributed_events(events, exposures, design)
         .groupBy(*keys)
         .agg(F.count("*").alias("conv_count"), F.sum("value").alias("user_sum"))
         .withColumn("user_avg", F.col("user_sum") / F.col("conv_count"))
     )
 
 
-def user_contributions(events: DataFrame, exposures: DataFrame, runs: DataFrame, specs: DataFrame) -> DataFrame:
+def user_contributions(events: DataFrame, exposures: DataFrame, design: Design) -> DataFrame:
     """Every exposed user's contribution to every metric of the run, zeros included."""
-    totals = user_totals(events, exposures, runs, specs).select(
+    totals = user_totals(events, exposures, design).select(
         "run_id", "env_id", "user_key", "metric_ord", "conv_count", "user_sum"
     )
-    spec = specs.select("run_id", "metric_ord", "event_name", "metric_agg")
+    spec = design.metrics.select("run_id", "metric_ord", "event_name", "metric_agg")
     return (
-        exposures.join(broadcast_if_small(spec), "run_id")
+        exposures.join(spec, "run_id")
         .join(totals, ["run_id", "env_id", "user_key", "metric_ord"], "left")
         .select(
             "run_id", "user_key", "variant", "metric_ord", "event_name", "metric_agg",
@@ -266,12 +309,12 @@ def user_contributions(events: DataFrame, exposures: DataFrame, runs: DataFrame,
 
 
 def variant_stats_from_exposures(
-    events: DataFrame, exposures: DataFrame, runs: DataFrame, specs: DataFrame, by: Sequence[str] = ()
+    events: DataFrame, exposures: DataFrame, design: Design, by: Sequence[str] = ()
 ) -> DataFrame:
     """Users, conversions, sum and sum of squares per (run, metric, variant[, by])."""
     x = contribution(F.col("metric_agg"), F.col("conv_count"), F.col("user_sum"))
     sums = (
-        user_totals(events, exposures, runs, specs, by)
+        user_totals(events, exposures, design, by)
         .withColumn("x", x)
         .groupBy("run_id", "metric_ord", "variant", *by)
         .agg(
@@ -281,10 +324,10 @@ def variant_stats_from_exposures(
         )
     )
     users = exposures.groupBy("run_id", "variant", *by).agg(F.count("*").alias("users"))
-    spec = specs.select("run_id", "metric_ord", F.col("event_name").alias("metric"), "role",
+    spec = design.metrics.select("run_id", "metric_ord", F.col("event_name").alias("metric"), "role",
                         "metric_type", "metric_agg", "inverse")
     keys = ["run_id", "metric_ord", "variant", *by]
-    grid = users.join(broadcast_if_small(spec), "run_id")
+    grid = users.join(spec, "run_id")
     if by:  # a segment may be null
         right = sums.select(*[F.col(c).alias(f"_{c}") for c in keys], "_conversions", "_sum", "_squares")
         on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
@@ -303,38 +346,35 @@ def variant_stats_from_exposures(
 def variant_stats(
     evals: DataFrame,
     events: DataFrame,
-    runs: DataFrame,
-    specs: DataFrame,
-    design: DesignFilters = NO_FILTERS,
+    design: Design,
+    options: DesignFilters = NO_FILTERS,
     balanced: bool = False,
 ) -> DataFrame:
     """Sufficient statistics of all runs and metrics in one plan."""
-    specs = specs.withColumn("metric_agg", canonical_agg(F.col("metric_type"), F.col("metric_agg")))
-    exposures = first_exposures(evals, runs, design)
+    exposures = first_exposures(evals, design, options)
     if balanced:
-        exposures = balance_exposures(exposures, runs)
-    return variant_stats_from_exposures(events, exposures, runs, specs)
+        exposures = balance_exposures(exposures, design)
+    return variant_stats_from_exposures(events, exposures, design)
 
 
 def segment_stats(
-    evals: DataFrame, events: DataFrame, runs: DataFrame, specs: DataFrame, property_name: str,
-    design: DesignFilters = NO_FILTERS,
+    evals: DataFrame, events: DataFrame, design: Design, property_name: str, options: DesignFilters = NO_FILTERS
 ) -> DataFrame:
     """Variant statistics sliced by a user property of the first exposure.
 
     ``level`` is ``segment`` for a slice and ``total`` for the variant's total.
     """
-    specs = specs.withColumn("metric_agg", canonical_agg(F.col("metric_type"), F.col("metric_agg")))
-    path = "$." + property_name
-    exposures = first_exposures(
-        evals, runs, design, carry={"segment": F.get_json_object("user_properties", path)}
-    )
-    sliced = variant_stats_from_exposures(events, exposures, runs, specs, by=["segment"])
+    segment = F.get_json_object("user_properties", "$." + property_name)
+    exposures = first_exposures(evals, design, options, carry={"segment": segment})
+    sliced = variant_stats_from_exposures(events, exposures, design, by=["segment"])
     keys = ["run_id", "metric_ord", "metric", "role", "metric_type", "metric_agg", "inverse", "variant"]
     sums = [F.sum(c).alias(c) for c in ("users", "conversions", "sum_val", "sum_sq")]
-    totals = sliced.groupBy(*keys).agg(*sums).withColumn("segment", F.lit(None).cast("string"))
-    return sliced.withColumn("level", F.lit("segment")).unionByName(
-        totals.withColumn("level", F.lit("total"))
+    # The slice's own null segment is told apart from the subtotal by grouping().
+    return (
+        sliced.groupingSets([[*keys, "segment"], keys], *keys, "segment")
+        .agg(F.grouping("segment").alias("_g"), *sums)
+        .withColumn("level", F.when(F.col("_g") == 0, F.lit("segment")).otherwise(F.lit("total")))
+        .drop("_g")
     )
 
 
@@ -393,7 +433,7 @@ def query_experiment(
         F.lit(metric_type).alias("metric_type"), F.lit(metric_agg).alias("metric_agg"),
         F.lit(False).alias("inverse"),
     )
-    stats = with_rates(variant_stats(evals, events, runs, specs))
+    stats = with_rates(variant_stats(evals, events, load_design(runs, specs)))
     return stats.select(
         "variant", "users", "conversions", "sum_val", "sum_sq", "conversion_rate", "avg_value"
     ).orderBy("variant")

@@ -40,6 +40,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("liftwise")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LIFTWISE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
@@ -76,13 +77,20 @@ def materialize(df: DataFrame, prefix: str = "liftwise") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when ``df`` has been counted to be small.
+def pin_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, list[dict] | None]:
+    """Read a design table once, if it has at most ``max_rows`` rows.
 
-    The count stops after ``max_rows + 1`` rows. Beyond the bound the frame is
-    returned unhinted and the join falls back to a shuffled one, where adaptive
-    execution splits hot keys.
+    Returns a local copy to be broadcast together with its rows, or, beyond the
+    bound, the frame itself and ``None``: joins with it are then shuffled and
+    adaptive execution splits hot keys. Never more than ``max_rows + 1`` rows
+    reach the driver.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df, None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows.to_pylist()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``pin_if_small`` without the rows."""
+    return pin_if_small(df, max_rows)[0]

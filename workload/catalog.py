@@ -26,12 +26,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rnd(column: str | Column, digits: int, name: str | None = None) -> Column:
-    """Rounded output column, so that sums in another order compare equal."""
+    """Rounded output column, so that sums taken in another order compare equal.
+
+    A nudge far below the kept digits decides exact halves the same way in
+    every engine.
+    """
     c = F.col(column) if isinstance(column, str) else column
-    rounded = F.round(c, digits)
+    rounded = F.round(c + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)
     alias = name or (column if isinstance(column, str) else None)
-    # Adding zero turns a negative zero into zero.
-    return (rounded + F.lit(0.0)).alias(alias) if alias else rounded + F.lit(0.0)
+    return rounded.alias(alias) if alias else rounded
+
+
+def r(expr: str, digits: int) -> str:
+    """SQL twin of ``rnd``."""
+    return f"(round(({expr}) + 1e{-(digits + 3)}, {digits}) + 0.0)"
 
 
 def stamp(column: str, name: str | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftwise.functions.hashing import hash_bucket
+from liftwise.operators.attribution import Design, load_design
 from liftwise.operators.normalize import metric_specs, run_defaults
 from liftwise.session import configure
 
@@ -137,6 +138,10 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_specs(runs(spark, sf_dir))
 
 
+def design(spark: SparkSession, sf_dir: str) -> Design:
+    return load_design(runs(spark, sf_dir), specs(spark, sf_dir))
+
+
 # The same views for the comparison engine, without a leading WITH.
 CTE = """
 evals AS (
