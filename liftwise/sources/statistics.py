@@ -286,15 +286,24 @@ def choose_source(runs: DataFrame, live: DataFrame, customer: DataFrame, stored:
 def with_specs(stats: DataFrame, specs: DataFrame) -> DataFrame:
     """Add role, type and aggregation of each metric from the run's specs.
 
-    ``inverse`` holds when either the data or the definition says so.
+    Metrics take the order of the specs; ``doc_ord`` keeps the order they had in
+    their source. A metric no spec mentions gets the role ``extra`` and comes
+    last. ``inverse`` holds when either the data or the definition says so.
     """
     s = specs.select(
-        "run_id", F.col("event_name").alias("metric"), F.col("metric_ord").alias("_ord"), "role",
-        "metric_type", "metric_agg", F.col("inverse").alias("_inverse"),
+        "run_id", F.col("event_name").alias("metric"), F.col("metric_ord").alias("_ord"),
+        F.col("role").alias("_role"), F.col("metric_type").alias("_type"), F.col("metric_agg").alias("_agg"),
+        F.col("inverse").alias("_inverse"),
     )
-    extra = [c for c in stats.columns if c not in (*_LONG, "role", "metric_type", "metric_agg")]
-    return stats.drop("role", "metric_type", "metric_agg").join(s, ["run_id", "metric"]).select(
-        "run_id", F.col("_ord").alias("metric_ord"), "metric", "role", "metric_type", "metric_agg",
+    extra = [c for c in stats.columns if c not in (*_LONG, "role", "metric_type", "metric_agg", "doc_ord")]
+    return stats.join(s, ["run_id", "metric"], "left").select(
+        "run_id",
+        F.coalesce("_ord", F.col("metric_ord") + 10_000).alias("metric_ord"),
+        F.col("metric_ord").alias("doc_ord"),
+        "metric",
+        F.coalesce("_role", F.lit("extra")).alias("role"),
+        F.coalesce("_type", F.when(F.col("k").isNotNull(), F.lit("binary")).otherwise(F.lit("continuous"))).alias("metric_type"),
+        F.col("_agg").alias("metric_agg"),
         (F.coalesce("inverse", F.lit(False)) | F.coalesce("_inverse", F.lit(False))).alias("inverse"),
         "variant", "n", "k", "sum", "sum_squares", "mean", "variance", *extra,
     )

@@ -1,4 +1,4 @@
 from workload.catalog import ORACLES, QUERIES
-from workload import attribution_queries, source_queries  # noqa: F401
+from workload import attribution_queries, source_queries, analysis_queries  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

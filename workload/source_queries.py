@@ -52,11 +52,13 @@ def payload_batches(spark, d):
     )
 
 
-@query("a1_decode_payloads", f"""
-SELECT event_id // 10 AS batch_id,
- CASE {STATE} WHEN 'broken' THEN 'Invalid JSON body' WHEN 'empty' THEN 'Empty payload' END AS error,
- CASE {STATE} WHEN 'good' THEN count(*) ELSE 0 END AS payloads
-FROM events GROUP BY ALL""")
+EV = f"WITH ev AS (SELECT *, event_id // 10 AS batch_id, {STATE} AS state FROM events) "
+
+
+@query("a1_decode_payloads", EV + """
+SELECT batch_id, CASE state WHEN 'broken' THEN 'Invalid JSON body' WHEN 'empty' THEN 'Empty payload' END AS error,
+ CASE state WHEN 'good' THEN count(*) ELSE 0 END AS payloads
+FROM ev GROUP BY batch_id, state""")
 def a1(spark, d):
     decoded = pl.decode_payloads(payload_batches(spark, d))
     return decoded.select(
@@ -152,13 +154,13 @@ def a9(spark, d):
     )
 
 
-@query("a10_ingest_counts", f"""
-SELECT event_id // 10 AS batch_id, CASE {STATE} WHEN 'good' THEN count(*) ELSE 0 END AS payloads,
- CASE {STATE} WHEN 'good' THEN count(*) FILTER (event_type = 'view') ELSE 0 END AS evaluations,
- CASE {STATE} WHEN 'good' THEN count(*) FILTER (event_type <> 'view') ELSE 0 END AS events,
- CASE {STATE} WHEN 'good' THEN count(*) ELSE 0 END AS accepted,
- CASE {STATE} WHEN 'good' THEN 0 ELSE 1 END AS rejected
-FROM events GROUP BY ALL""")
+@query("a10_ingest_counts", EV + """
+SELECT batch_id, CASE state WHEN 'good' THEN count(*) ELSE 0 END AS payloads,
+ CASE state WHEN 'good' THEN count(*) FILTER (event_type = 'view') ELSE 0 END AS evaluations,
+ CASE state WHEN 'good' THEN count(*) FILTER (event_type <> 'view') ELSE 0 END AS events,
+ CASE state WHEN 'good' THEN count(*) ELSE 0 END AS accepted,
+ CASE state WHEN 'good' THEN 0 ELSE 1 END AS rejected
+FROM ev GROUP BY batch_id, state""")
 def a10(spark, d):
     return pl.ingest_counts(pl.decode_payloads(payload_batches(spark, d)))
 
