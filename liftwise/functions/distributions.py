@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from liftwise.functions.binding import let
+
 # Abramowitz & Stegun 7.1.26, constant term first.
 _ERF_P = 0.3275911
 _ERF_A = (0.0, 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -65,15 +67,19 @@ def _poly(x: Column, highest_first: Sequence[float]) -> Column:
 
 def erf(x: Column | float) -> Column:
     """Error function, absolute error below 1.5e-7."""
-    x = _c(x)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(_ERF_P) * F.abs(x))
-    magnitude = F.lit(1.0) - _poly(t, _ERF_A[::-1]) * F.exp(-x * x)
-    return F.when(x >= 0, magnitude).otherwise(-magnitude)
+
+    def at(x: Column) -> Column:
+        tail = let(
+            F.lit(1.0) / (F.lit(1.0) + F.lit(_ERF_P) * F.abs(x)), lambda t: _poly(t, _ERF_A[::-1])
+        ) * F.exp(-x * x)
+        return F.when(x >= 0, F.lit(1.0) - tail).otherwise(tail - F.lit(1.0))
+
+    return let(_c(x), at)
 
 
 def normal_pdf(x: Column | float, mu: Column | float = 0.0, sigma: Column | float = 1.0) -> Column:
     z = (_c(x) - _c(mu)) / _c(sigma)
-    return F.exp(F.lit(-0.5) * z * z) / (_c(sigma) * F.lit(math.sqrt(2 * math.pi)))
+    return F.exp(F.lit(-0.5) * F.pow(z, F.lit(2.0))) / (_c(sigma) * F.lit(math.sqrt(2 * math.pi)))
 
 
 def normal_cdf(x: Column | float, mu: Column | float = 0.0, sigma: Column | float = 1.0) -> Column:

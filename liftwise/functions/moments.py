@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from liftwise.functions.binding import let
 from liftwise.functions.distributions import normal_cdf, normal_pdf
 
 
@@ -55,10 +56,11 @@ def effect_se(
 
 def expected_losses(mu: Column, sigma: Column) -> tuple[Column, Column]:
     """(E[max(0, d)], E[max(0, -d)]) for an effect d ~ N(mu, sigma^2), sigma > 0."""
-    z = mu / sigma
-    density = sigma * normal_pdf(z)
-    below = normal_cdf(-z)
-    return mu * (F.lit(1.0) - below) + density, density - mu * below
+
+    def gain(m: Column, s: Column) -> Column:
+        return let(m / s, lambda z: m * normal_cdf(z) + s * normal_pdf(z))
+
+    return gain(mu, sigma), gain(-mu, sigma)
 
 
 def arm_posterior(

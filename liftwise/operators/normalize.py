@@ -100,7 +100,7 @@ def run_defaults(runs: DataFrame, as_of: dt.datetime | str) -> DataFrame:
         return F.col(name).cast(type_) if name in runs.columns else F.lit(None).cast(type_)
 
     treatments = F.filter(
-        F.transform(F.split(F.coalesce(col("treatment_variant", "string"), F.lit("true")), ","), F.trim),
+        F.transform(F.split(F.coalesce(col("treatment_variant", "string"), F.lit("true")), ","), lambda t: F.trim(t)),
         lambda t: t != "",
     )
     start = F.coalesce(col("observation_start", "timestamp"), now - F.expr("interval 30 days"))

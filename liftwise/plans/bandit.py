@@ -7,11 +7,13 @@ sequence, and only (run, arm) counts leave the tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftwise.functions.moments import arm_posterior, moments
-from liftwise.functions.random import standard_normal, uniform
+from liftwise.functions.random import standard_normal, with_uniforms
 from liftwise.functions.rounding import to_fixed
 from liftwise.plans.bayes import run_arms, srm_p_value
 from liftwise.session import pin_if_small
@@ -51,59 +53,44 @@ def default_seed(run_id: Column) -> Column:
     return F.pmod(F.xxhash64(run_id), F.lit(1_000_000))
 
 
-def _top_two(values: Column) -> Column:
-    """Arm indexes of the two largest values, ties to the lower index."""
-    keyed = F.transform(values, lambda v, i: F.struct(v.alias("v"), (-i).alias("rank")))
-    best = F.sort_array(keyed, asc=False)
-    return F.transform(F.slice(best, 1, 2), lambda b: -b["rank"])
-
-
 def draw_counts(arms: DataFrame, draws: int = DRAWS) -> DataFrame:
     """(run_id, arm_idx, firsts, top_twos) over ``draws`` posterior draws per run.
 
     ``arms`` needs run_id, seed, arm_idx, mean, variance, n, inverse and the prior.
+    Only arms and block numbers are shuffled; draws are made and ranked inside
+    the task that holds all arms of their block.
     """
     mean, variance = arm_posterior(*[F.col(c) for c in ("mean", "variance", "n", "prior_proper", "prior_mean", "prior_stddev")])
-    sign = F.when(F.col("inverse"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    arm = F.struct("arm_idx", mean.alias("mu"), F.sqrt(F.greatest(variance, F.lit(1e-12))).alias("sd"), sign.alias("sign"))
-    per_run = arms.groupBy("run_id", "seed").agg(F.array_sort(F.collect_list(arm)).alias("arms"))
     blocks = (draws + BLOCK - 1) // BLOCK
-    spread = per_run.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).repartition(
-        "run_id", "block"
-    )
-    drawn = spread.select(
-        "run_id", "seed", "arms", F.size("arms").alias("count"),
-        F.explode(
-            F.sequence(F.col("block") * BLOCK, F.least((F.col("block") + 1) * BLOCK, F.lit(draws)) - 1)
-        ).alias("draw"),
+    counted = arms.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("run_id")))
+    spread = counted.select(
+        "run_id", "seed", "arm_idx", "inverse", "count", mean.alias("mu"),
+        F.sqrt(F.greatest(variance, F.lit(1e-12))).alias("sd"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
-
-    def value(a: Column, j: Column) -> Column:
-        k = (F.col("draw").cast("bigint") * F.col("count") + j) * 2
-        z = standard_normal(uniform(F.col("seed"), k + 1), uniform(F.col("seed"), k + 2))
-        return a["sign"] * (a["mu"] + a["sd"] * z)
-
-    top = drawn.select("run_id", _top_two(F.transform("arms", value)).alias("top"))
-    return _count_tops(top)
-
-
-def _count_tops(top: DataFrame) -> DataFrame:
-    return top.select("run_id", F.posexplode("top").alias("pos", "arm_idx")).groupBy("run_id", "arm_idx").agg(
-        F.count_if(F.col("pos") == 0).alias("firsts"), F.count("*").alias("top_twos")
+    # A set number of partitions: the few input rows must not be merged into one task.
+    partitions = int(arms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = F.sequence(F.col("block") * BLOCK, F.least((F.col("block") + 1) * BLOCK, F.lit(draws)) - 1)
+    drawn = spread.repartition(partitions, "run_id", "block").withColumn("draw", F.explode(inside))
+    k = (F.col("draw").cast("bigint") * F.col("count") + F.col("arm_idx")) * 2
+    values = with_uniforms(drawn, F.col("seed"), {"u1": k + 1, "u2": k + 2}).select(
+        "run_id", "block", "draw", "arm_idx", "inverse",
+        (F.col("mu") + F.col("sd") * standard_normal(F.col("u1"), F.col("u2"))).alias("value"),
     )
+    return counts_from_samples(values, ("run_id", "block", "draw"))
 
 
-def rank_draws(samples: DataFrame) -> DataFrame:
+def rank_draws(samples: DataFrame, draw: Sequence[str] = ("run_id", "draw")) -> DataFrame:
     """Rank arms inside each draw (run_id, draw, arm_idx, value, inverse); ties to the lower arm."""
     signed = F.when(F.col("inverse"), -F.col("value")).otherwise(F.col("value"))
-    order = Window.partitionBy("run_id", "draw").orderBy(signed.desc(), "arm_idx")
+    order = Window.partitionBy(*draw).orderBy(signed.desc(), "arm_idx")
     return samples.withColumn("rank", F.row_number().over(order))
 
 
-def counts_from_samples(samples: DataFrame) -> DataFrame:
-    """The same counts as ``draw_counts`` from a given sample matrix."""
+def counts_from_samples(samples: DataFrame, draw: Sequence[str] = ("run_id", "draw")) -> DataFrame:
+    """How often each arm came first and among the first two in a sample matrix."""
     return (
-        rank_draws(samples).where(F.col("rank") <= 2).groupBy("run_id", "arm_idx")
+        rank_draws(samples, draw).where(F.col("rank") <= 2).groupBy("run_id", "arm_idx")
         .agg(F.count_if(F.col("rank") == 1).alias("firsts"), F.count("*").alias("top_twos"))
     )
 

@@ -296,7 +296,7 @@ def bayesian_results(
     )
     health = run_health(compared, runs)
     config, _ = pin_if_small(runs.select(*_CONFIG))
-    joined = config.join(health, "run_id").join(folded, "run_id", "left")
+    joined = config.join(health.drop("minimum_sample"), "run_id").join(folded, "run_id", "left")
     if warnings is not None:
         said = warnings.groupBy("run_id").agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
         joined = joined.join(said, "run_id", "left")

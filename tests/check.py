@@ -5,7 +5,7 @@ import time
 import traceback
 
 from liftwise.session import local_session
-from tests.oracle import compare, connect
+from tests.oracle import TIMES, compare, connect
 from workload import ORACLES, QUERIES
 
 if __name__ == "__main__":
@@ -22,8 +22,8 @@ if __name__ == "__main__":
         try:
             if name in ORACLES:
                 diff = compare(spark, con, fn, ORACLES[name], d)
-                n = con.execute(f"SELECT count(*) FROM ({ORACLES[name].rstrip().rstrip(';')})").fetchone()[0]
-                status = f"ok rows={n}" if diff is None else "DIFF " + diff
+                times = "spark %.2fs sql %.2fs rows %d " % TIMES[-1]
+                status = times + "ok" if diff is None else times + "DIFF " + diff
             else:
                 status = f"rows {len(fn(spark, d).collect())}"
                 diff = None
@@ -31,6 +31,6 @@ if __name__ == "__main__":
             diff = str(e)
             status = "ERROR " + "".join(traceback.format_exception_only(e))[:1500]
         bad += diff is not None
-        print(f"{name:36s} {time.time() - t:6.2f}s {status}", flush=True)
+        print(f"{name:30s} {time.time() - t:6.2f}s {status[:600]}", flush=True)
     print("failures:", bad)
     spark.stop()

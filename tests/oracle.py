@@ -4,9 +4,12 @@ import datetime as dt
 import glob
 import math
 import os
+import time
 
 import duckdb
 
+TIMES = []
+
 
 def connect(sf_dir):
     con = duckdb.connect()
@@ -37,11 +40,14 @@ def rows(columns, data):
 
 def compare(spark, con, fn, sql, sf_dir):
     """Returns None when equal, else a description of the difference."""
+    start = time.time()
     df = fn(spark, sf_dir)
     got = rows(df.columns, df.collect())
+    mid = time.time()
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
     want = rows(names, cur.fetchall())
+    TIMES.append((mid - start, time.time() - mid, len(want)))
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
     if got != want:

@@ -140,12 +140,6 @@ def h8(spark, d):
     return fx.raw_events(spark, d).select("event_id", round_half_up(F.col("value") - 50, 1).alias("v"))
 
 
-def sql_uniform(seed, k):
-    t = f"(({seed} + ({k}) * 1831565813) % 4294967296)"
-    x = f"(({t} # ({t} >> 15)) * ({t} | 1) % 4294967296)"
-    return t, x
-
-
 def sql_random(source, seed, keys):
     """Subqueries that carry one uniform number per k in ``keys`` through the generator's steps."""
     steps = source
@@ -220,11 +214,11 @@ def sql_half_up(x, digits):
 @query("i2_metric_sections", W + "," + SECTIONS + f"""
 SELECT run_id, metric, variant, arm_idx = 0 AS is_control, n::BIGINT AS n,
  CASE WHEN metric_type = 'binary' THEN kb::BIGINT END AS conversions, CASE WHEN metric_type = 'binary' THEN {sql_half_up('mb', 6)} END AS rate,
- CASE WHEN metric_type <> 'binary' THEN {r('mb', 3)} END AS mean, {r('mu', 5)} AS rel_delta,
- CASE WHEN role <> 'guardrail' THEN {r('win', 4)} END AS p_win, CASE WHEN role = 'guardrail' THEN {r('1 - win', 4)} END AS p_harm,
- {r('risk_ctrl', 5)} AS risk_ctrl, {r('risk_trt', 5)} AS risk_trt FROM sec""")
+ CASE WHEN metric_type <> 'binary' THEN {r(sql_half_up('mb', 4), 3)} END AS mean, {r(sql_half_up('mu', 6), 5)} AS rel_delta,
+ CASE WHEN role <> 'guardrail' THEN {sql_half_up('win', 4)} END AS p_win, CASE WHEN role = 'guardrail' THEN {sql_half_up('1 - win', 4)} END AS p_harm,
+ {r(sql_half_up('risk_ctrl', 6), 5)} AS risk_ctrl, {r(sql_half_up('risk_trt', 6), 5)} AS risk_trt FROM sec""")
 def i2(spark, d):
-    s = bayes.section_rows(compared(spark, d).withColumn("chance_to_win", F.col("chance_to_win")))
+    s = bayes.section_rows(compared(spark, d))
     return s.select(
         "run_id", "metric", "variant", "is_control", "n", "conversions", "rate", rnd("mean", 3), rnd("rel_delta", 5),
         rnd("p_win", 4), rnd("p_harm", 4), rnd("risk_ctrl", 5), rnd("risk_trt", 5),
