@@ -1,4 +1,6 @@
 from workload.catalog import ORACLES, QUERIES
-from workload import attribution_queries, source_queries, analysis_queries  # noqa: F401
+from workload import (  # noqa: F401
+    analysis_queries, attribution_queries, design_queries, source_queries, streaming_queries,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

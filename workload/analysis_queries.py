@@ -11,6 +11,7 @@ from liftwise.functions.rounding import round_half_up
 from liftwise.operators import attribution as at
 from liftwise.operators import variants
 from liftwise.plans import analyze, bandit, bayes, decision, holdout
+from liftwise.session import materialize
 from workload import fixtures as fx
 from workload.attribution_queries import MOMENTS
 from workload.catalog import query, r, rnd
@@ -252,7 +253,7 @@ def i10(spark, d):
 
 def _bandit(spark, d):
     runs = fx.runs(spark, d).withColumn("method", F.lit("bandit"))
-    arms = bandit.bandit_arms(live_stats(spark, d), runs)
+    arms = materialize(bandit.bandit_arms(live_stats(spark, d), runs), "arms")
     return arms.withColumn("seed", F.substring("run_id", 5, 2).cast("bigint") * 101 + 7)
 
 
