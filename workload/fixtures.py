@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from liftwise.functions.hashing import hash_bucket
 from liftwise.operators.attribution import Design, load_design
@@ -17,9 +18,16 @@ from liftwise.session import configure
 AS_OF = "2024-02-01 00:00:00"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables; its schema is read from the file once per process."""
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +147,8 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def design(spark: SparkSession, sf_dir: str) -> Design:
-    return load_design(runs(spark, sf_dir), specs(spark, sf_dir))
+    prepared = runs(spark, sf_dir)
+    return load_design(prepared, metric_specs(prepared))
 
 
 # The same views for the comparison engine, without a leading WITH.
