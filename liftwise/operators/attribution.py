@@ -100,10 +100,14 @@ def load_design(runs: DataFrame, specs: DataFrame | None = None) -> Design:
     the columns the optional filters use. ``specs`` comes from ``metric_specs``.
     """
     options = [c for c in _RUN_OPTIONS if c in runs.columns]
-    slim, rows = pin_if_small(runs.select(*_RUN_COLUMNS, *options))
+    bounds = [
+        fl.day_start(F.col("start_date")).alias("from_ts"),
+        fl.day_start(F.date_add("end_date", 1)).alias("until_ts"),
+    ]
+    slim, rows = pin_if_small(runs.select(*_RUN_COLUMNS, *options, *bounds))
     if rows is None:
-        bounds = slim.agg(F.min("start_date"), F.max("end_date")).first()
-        window = None if bounds[0] is None or bounds[1] is None else (bounds[0], bounds[1])
+        span = slim.agg(F.min("start_date"), F.max("end_date")).first()
+        window = None if span[0] is None or span[1] is None else (span[0], span[1])
     else:
         starts = [row["start_date"] for row in rows if row["start_date"] is not None]
         ends = [row["end_date"] for row in rows if row["end_date"] is not None]
@@ -129,13 +133,15 @@ def _scan(df: DataFrame, design: Design, keys: tuple[list[str], list[str]] | Non
 
 def exposures_in_runs(evals: DataFrame, design: Design, options: DesignFilters = NO_FILTERS) -> DataFrame:
     """Evaluations paired with every run of their flag whose window covers them."""
-    slim = design.runs.select(*_RUN_COLUMNS, *[F.col(c).alias(f"run_{c}") for c in options.columns()])
+    slim = design.runs.select(
+        "run_id", "env_id", "flag_key", "from_ts", "until_ts", *[F.col(c).alias(f"run_{c}") for c in options.columns()]
+    )
     if options.audience:
         slim = slim.withColumn("run_rules", fl.audience_rules(F.col("run_audience_filters")))
     paired = (
         _scan(evals, design, design.flags, "flag_key")
         .join(slim, ["env_id", "flag_key"])
-        .where(fl.in_window(F.col("timestamp"), F.col("start_date"), F.col("end_date")))
+        .where((F.col("timestamp") >= F.col("from_ts")) & (F.col("timestamp") < F.col("until_ts")))
     )
     if options.traffic:
         paired = paired.where(
@@ -168,7 +174,10 @@ def first_exposures(
     minimum over a struct would sort every input row.
     """
     carry = carry or {}
-    rows = exposures_in_runs(evals, design, options).select(
+    # The user join below implies this filter for its own copy of the plan; with it
+    # in both copies they are equal, and Spark computes the exchange only once.
+    known = exposures_in_runs(evals, design, options).where(F.col("user_key").isNotNull())
+    rows = known.select(
         "run_id", "env_id", "user_key", "variant", F.col("timestamp").alias("ts"),
         *[c.alias(name) for name, c in carry.items()],
     )
@@ -248,14 +257,14 @@ def attributed_events(events: DataFrame, exposures: DataFrame, design: Design) -
     )
     if design.events is None:
         found = found.join(wanted, ["env_id", "event_name"], "left_semi")
-    ends = design.runs.select("run_id", F.col("start_date").alias("_from"), F.col("end_date").alias("_to"))
+    ends = design.runs.select("run_id", "until_ts")  # the exposure bounds the other side
     spec = design.metrics.select("run_id", "event_name", "metric_ord", "metric_agg")
     return (
         exposures.join(found, ["env_id", "user_key"])
         .where(F.col("event_ts") >= F.col("exposure_ts"))
         .join(ends, "run_id")
-        .where(fl.in_window(F.col("event_ts"), F.col("_from"), F.col("_to")))
-        .drop("_from", "_to")
+        .where(F.col("event_ts") < F.col("until_ts"))
+        .drop("until_ts")
         .join(spec, ["run_id", "event_name"])
     )
 

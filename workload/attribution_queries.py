@@ -72,6 +72,24 @@ query("b6_audience_filter", W + PAIRED.format("""
    WHEN 1 THEN coalesce(json_extract_string(e.user_properties, '$.k') <> '7', true) ELSE true END"""))(_per_run("audience"))
 
 
+@query("b7_post_exposure", W + """
+SELECT s.run_id, s.event_name, count(*) FILTER (m.ts >= fe.exposure_ts) AS after_exposure, count(*) FILTER (m.ts < fe.exposure_ts) AS before_exposure
+FROM fe JOIN runs r ON r.run_id = fe.run_id JOIN specs s ON s.run_id = fe.run_id
+JOIN mevents m ON m.env_id = fe.env_id AND m.user_key = fe.user_key AND m.event_name = s.event_name
+ AND CAST(m.ts AS DATE) BETWEEN r.start_date AND r.end_date GROUP BY ALL""")
+def b7(spark, d):
+    design = fx.design(spark, d)
+    fe = at.first_exposures(fx.evaluations(spark, d), design)
+    # The same users, taken as exposed from the start of their run's window.
+    starts = design.runs.select("run_id", "from_ts")
+    early = fe.join(starts, "run_id").withColumn("first_ts", F.col("exposure_ts")).withColumn("exposure_ts", F.col("from_ts")).drop("from_ts")
+    events = at.attributed_events(fx.metric_events(spark, d), early, design)
+    after = F.col("event_ts") >= F.col("first_ts")
+    return events.groupBy("run_id", "event_name").agg(
+        F.count_if(after).alias("after_exposure"), F.count_if(~after).alias("before_exposure")
+    )
+
+
 @query("c1_attributed_events", W + """
 SELECT s.run_id, s.event_name, fe.variant, count(*) AS events, count(DISTINCT m.user_key) AS users
 FROM fe JOIN runs r ON r.run_id = fe.run_id JOIN specs s ON s.run_id = fe.run_id
