@@ -122,7 +122,11 @@ def section_rows(compared: DataFrame) -> DataFrame:
 
     A treatment that cannot be compared keeps only its size and its rate or mean.
     """
-    rows = compared.where(F.col("arm_idx").isNotNull() & F.col("a_n").isNotNull())
+    return _reported(compared).where("shown").drop("shown", "counted")
+
+
+def _reported(compared: DataFrame) -> DataFrame:
+    """Report columns of every row; ``shown`` are those of arms whose metric has a control."""
     guard = F.col("role") == "guardrail"
     treated = (F.col("arm_idx") > 0) & F.col("error").isNull()
 
@@ -130,7 +134,9 @@ def section_rows(compared: DataFrame) -> DataFrame:
         return F.when(treated, round_half_up(F.col(name), digits))
 
     win, harm = F.col("chance_to_win"), F.lit(1.0) - F.col("chance_to_win")
-    return rows.select(
+    return compared.select(
+        (F.col("arm_idx").isNotNull() & F.col("a_n").isNotNull()).alias("shown"),
+        F.floor(F.coalesce("n", F.lit(0.0))).cast("bigint").alias("counted"),
         "run_id", "metric_ord", "doc_ord", "metric", "role", "metric_type", "metric_agg", "inverse", "arm_idx",
         "variant", "treatment_count", (F.col("arm_idx") == 0).alias("is_control"), F.col("b_n").alias("n"),
         "is_rate",
@@ -215,40 +221,62 @@ def srm_p_value(counts: DataFrame, keys: list[str], observed: str = "observed",
     )
 
 
-def run_health(compared: DataFrame, runs: DataFrame) -> DataFrame:
-    """SRM and sample check per run, from the users of the run's first metric.
+_SHOWN = (
+    "variant", "n", "is_control", "conversions", "rate", "mean", "rel_delta", "ci_lower", "ci_upper",
+    "p_win", "p_harm", "risk_ctrl", "risk_trt",
+)
 
-    Columns: first_metric, observed (map), srm_p, srm_ok, minimum_sample,
-    sample_ok, smallest.
+
+def _per_metric(compared: DataFrame) -> DataFrame:
+    """One pass over the comparisons: per (run, metric) its report section and its user counts.
+
+    Only configured arms are collected; whatever else the data holds is just counted.
     """
-    counted = F.floor(F.coalesce("n", F.lit(0.0))).cast("bigint")
     mine = F.col("arm_idx").isNotNull()
-    size = F.when(mine, counted.cast("decimal(18,0)"))
-    per_metric = compared.groupBy("run_id", "doc_ord", "metric").agg(
+    size = F.when(mine, F.col("counted").cast("decimal(18,0)"))
+    part = F.when(F.col("shown"), F.struct("arm_idx", "verdict", F.struct(*_SHOWN).alias("row")))
+    return _reported(compared).groupBy("run_id", "metric_ord", "doc_ord", "metric", "role", "inverse", "metric_agg").agg(
+        F.array_sort(F.collect_list(part)).alias("parts"),
+        F.bool_or("is_rate").alias("is_rate"),
         F.count_if(mine).alias("arms"),
         F.coalesce(F.sum(size), F.lit(0)).alias("total"),
         F.coalesce(F.sum((size * size).cast("decimal(38,0)")), F.lit(0)).alias("squares"),
-        F.min(F.when(mine, counted)).alias("smallest"),
-        F.array_sort(F.collect_list(F.when(mine, F.struct("arm_idx", "variant", counted.alias("n"))))).alias("arms_n"),
+        F.min(F.when(mine, F.col("counted"))).alias("smallest"),
+        F.array_sort(F.collect_list(F.when(mine, F.struct("arm_idx", "variant", F.col("counted").alias("n"))))).alias("arms_n"),
     )
-    first = per_metric.groupBy("run_id").agg(
-        F.min_by(F.struct("metric", "arms", "total", "squares", "smallest", "arms_n"), F.struct("doc_ord", "metric")).alias("f")
-    ).select("run_id", "f.*")
-    total = F.col("total").cast("double")
-    excess = (F.col("arms") * F.col("squares") - F.col("total") * F.col("total")).cast("double")
+
+
+def _first_counts() -> Column:
+    """Aggregate: the user counts of the run's first metric."""
+    return F.min_by(
+        F.struct("metric", "arms", "total", "squares", "smallest", "arms_n"), F.struct("doc_ord", "metric")
+    ).alias("f")
+
+
+def _health_columns(firsts: DataFrame) -> DataFrame:
+    """SRM and sample check from the first metric's counts; expects f and minimum_sample."""
+    total = F.col("f.total").cast("double")
+    excess = (F.col("f.arms") * F.col("f.squares") - F.col("f.total") * F.col("f.total")).cast("double")
+    return firsts.withColumn("chi2", F.coalesce(excess / F.when(total > 0, total), F.lit(0.0))).withColumn(
+        "srm_p", chi2_sf(F.col("chi2"), F.col("f.arms") - 1)
+    ).withColumns({
+        "first_metric": F.col("f.metric"),
+        "observed": F.map_from_entries(F.transform("f.arms_n", lambda a: F.struct(a["variant"], a["n"]))),
+        "srm_ok": F.col("srm_p") >= SRM_ALPHA,
+        "smallest": F.col("f.smallest"),
+        "sample_ok": (F.col("minimum_sample") == 0)
+        | F.coalesce(F.col("f.smallest") >= F.col("minimum_sample"), F.lit(True)),
+    }).drop("f", "chi2")
+
+
+def run_health(compared: DataFrame, runs: DataFrame) -> DataFrame:
+    """SRM and sample check per run, from the users of the run's first metric.
+
+    Columns: first_metric, observed (map), srm_p, srm_ok, minimum_sample,
+    sample_ok, smallest.
+    """
     config, _ = pin_if_small(runs.select("run_id", "minimum_sample"))
-    return (
-        first.withColumn("chi2", F.coalesce(excess / F.when(total > 0, total), F.lit(0.0)))
-        .withColumn("srm_p", chi2_sf(F.col("chi2"), F.col("arms") - 1))
-        .join(config, "run_id")
-        .select(
-            "run_id", F.col("metric").alias("first_metric"),
-            F.map_from_entries(F.transform("arms_n", lambda a: F.struct(a["variant"], a["n"]))).alias("observed"),
-            "srm_p", (F.col("srm_p") >= SRM_ALPHA).alias("srm_ok"), "minimum_sample", "smallest",
-            ((F.col("minimum_sample") == 0) | F.coalesce(F.col("smallest") >= F.col("minimum_sample"), F.lit(True)))
-            .alias("sample_ok"),
-        )
-    )
+    return _health_columns(_per_metric(compared).groupBy("run_id").agg(_first_counts()).join(config, "run_id"))
 
 
 def prior_label(runs_proper: Column, mean: Column, stddev: Column) -> Column:
@@ -266,14 +294,9 @@ def bayesian_results(
     their definitions and are left out when the data lacks them. ``warnings``
     (run_id, warning) are attached where given.
     """
-    rows = section_rows(compared)
-    shown = ("variant", "n", "is_control", "conversions", "rate", "mean", "rel_delta", "ci_lower", "ci_upper",
-             "p_win", "p_harm", "risk_ctrl", "risk_trt")
-    parts = F.array_sort(F.collect_list(F.struct("arm_idx", "verdict", F.struct(*shown).alias("row"))))
-    sections = rows.groupBy("run_id", "metric_ord", "doc_ord", "metric", "role", "inverse", "metric_agg").agg(
-        parts.alias("parts"), F.bool_or("is_rate").alias("is_rate")
-    ).select(
-        "run_id", "metric_ord", "doc_ord", "role",
+    guard = F.col("role") == "guardrail"
+    section = F.when(
+        F.size("parts") > 0,
         F.struct(
             F.col("metric").alias("event"),
             F.when(F.col("is_rate"), F.lit("proportion")).otherwise(F.lit("continuous")).alias("metric_type"),
@@ -281,22 +304,17 @@ def bayesian_results(
             _joined_verdicts(F.col("parts")).alias("verdict"),
             F.when(F.col("inverse"), F.lit(True)).alias("inverse"),
             F.col("metric_agg").alias("metric_agg"),
-        ).alias("section"),
+        ),
     )
-    # The primary is chosen among all metrics of the data, with or without a section.
-    firsts = compared.groupBy("run_id").agg(
-        F.min(F.when(F.col("role") != "guardrail", F.col("doc_ord"))).alias("_plain"), F.min("doc_ord").alias("_any")
-    ).select("run_id", F.coalesce("_plain", "_any").alias("_primary"))
-    folded = sections.join(firsts, "run_id").groupBy("run_id").agg(
-        F.min_by("section", F.when(F.col("doc_ord") == F.col("_primary"), F.lit(0))).alias("_p"),
-        F.max(F.col("doc_ord") == F.col("_primary")).alias("_has"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("role") == "guardrail", F.struct("metric_ord", F.to_json("section").alias("json"))))
-        ).alias("_g"),
+    folded = _per_metric(compared).withColumn("section", section).groupBy("run_id").agg(
+        _first_counts(),
+        F.min_by("section", F.struct(guard.cast("int").alias("last"), "doc_ord")).alias("_p"),
+        F.array_sort(F.collect_list(
+            F.when(guard & F.col("section").isNotNull(), F.struct("metric_ord", F.to_json("section").alias("json")))
+        )).alias("_g"),
     )
-    health = run_health(compared, runs)
     config, _ = pin_if_small(runs.select(*_CONFIG))
-    joined = config.join(health.drop("minimum_sample"), "run_id").join(folded, "run_id", "left")
+    joined = _health_columns(folded.join(config, "run_id"))
     if warnings is not None:
         said = warnings.groupBy("run_id").agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
         joined = joined.join(said, "run_id", "left")
@@ -312,7 +330,7 @@ def bayesian_results(
         F.struct(
             round_half_up(F.col("srm_p"), 4).alias("chi2_p_value"), F.col("srm_ok").alias("ok"), F.col("observed")
         ).alias("srm"),
-        F.when(F.coalesce("_has", F.lit(False)), F.col("_p")).alias("primary_metric"),
+        F.col("_p").alias("primary_metric"),
         F.struct(
             F.col("minimum_sample").alias("minimum_per_variant"), F.col("sample_ok").alias("ok"),
             F.col("observed").alias("variants"),
