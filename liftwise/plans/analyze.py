@@ -58,7 +58,9 @@ def analyze(
     """
     prepared = run_defaults(runs, as_of)
     specs = metric_specs(prepared)
-    live = live_statistics(evals, events, prepared, options, balanced)
+    # Written before the sources are compared: both the union and the check which
+    # runs have live data read it.
+    live = materialize(live_statistics(evals, events, prepared, options, balanced), "live")
     nothing = live.limit(0)
     stored = stored_statistics(prepared) if "input_data" in prepared.columns else nothing
     chosen = choose_source(prepared, live, nothing if customer is None else customer, stored)
