@@ -480,12 +480,6 @@ def i17(spark, d):
     return p.select("experiment_id", "metric", "past_runs", rnd("prior_mean", 5), rnd("prior_stddev", 5))
 
 
-@query("i18_arm_thresholds", W + f"""
-SELECT run_id, count(*)::INTEGER AS arms, {r('1 - 0.05 / count(*)', 6)} AS p_win_threshold, {r('1 - 0.95 ** count(*)', 6)} AS family_error FROM arms GROUP BY 1""")
-def i18(spark, d):
-    return decision.thresholds(fx.runs(spark, d)).select("run_id", "arms", rnd("p_win_threshold", 6), rnd("family_error", 6))
-
-
 @query("i19_reading_bands", W + "," + BAYES + """
 SELECT run_id, metric, variant, CASE WHEN risk_trt < 0.001 THEN 'negligible' WHEN risk_trt <= 0.01 THEN 'acceptable' ELSE 'meaningful' END AS risk_band,
  CASE WHEN role = 'guardrail' THEN CASE WHEN win <= 0.05 THEN 'strong harm signal' WHEN win <= 0.2 THEN 'possible harm' WHEN win < 0.8 THEN 'no detectable effect' ELSE 'likely lift' END END AS guardrail_band

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from liftwise.operators import attribution as at
 from liftwise.operators import design, normalize, rollups
 from liftwise.operators import runs as run_lists
-from liftwise.plans import bayes, holdout
+from liftwise.plans import bayes, decision, holdout
 from workload import fixtures as fx
 from workload.analysis_queries import BAYES
 from workload.catalog import query, r, rnd
@@ -250,15 +250,40 @@ def b10(spark, d):
     )
 
 
-@query("b11_run_defaults", W + """
-SELECT run_id, method, CASE WHEN env_id = 'env-0' THEN 'v0' ELSE 'arm-0' END AS control,
- CASE WHEN env_id = 'env-0' THEN 'v1|v2' ELSE 'arm-1|arm-2|arm-3' END AS treatments, CAST(start_date AS VARCHAR) AS start_date,
- CAST(end_date AS VARCHAR) AS end_date, prior_proper, 0.0 AS prior_mean, 0.3 AS prior_stddev, minimum_sample FROM runs
-UNION ALL SELECT 'bare-' || CAST(r_regionkey AS VARCHAR), 'bayesian_ab', 'false', 'true', '2024-01-02', '2024-02-01', false, 0.0, 0.3, 0 FROM region""")
+METHOD_CASES = [None, "bandit", "bayesian_ab"]
+TREATMENTS = [None, " a ,, b", "v1", "v1,v2,v3", ""]
+TREATMENTS_OUT = ["true", "a|b", "v1", "v1|v2|v3", ""]
+
+
+def sparse_runs(spark, d):
+    """Run definitions from the part table with all kinds of gaps."""
+    p = fx.table(spark, d, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (key % 60).cast("int"))
+    return p.select(
+        key.alias("run_id"), F.lit("env-0").alias("env_id"), F.col("p_brand").alias("flag_key"),
+        _case(key % 3, METHOD_CASES).alias("method"),
+        F.when(key % 4 != 0, F.lit("v0")).alias("control_variant"),
+        _case(key % 5, TREATMENTS).alias("treatment_variant"),
+        F.when(key % 11 != 0, start.cast("timestamp")).alias("observation_start"),
+        F.when(size % 5 != 0, F.date_add(start, size).cast("timestamp")).alias("observation_end"),
+        F.when(key % 2 == 0, F.lit(True)).alias("prior_proper"),
+        F.when(key % 7 == 0, F.lit(0.1)).alias("prior_stddev"),
+        F.when(key % 3 != 0, size).alias("minimum_sample"),
+        F.col("p_type").alias("primary_metric_event"), _case(key % 5, TYPES).alias("primary_metric_type"),
+        _case(size % 6, AGGS).alias("primary_metric_agg"), _case(key % 6, GUARDS).alias("guardrail_events"),
+    )
+
+
+@query("b11_run_defaults", f"""
+SELECT p_partkey AS run_id, coalesce({_sql_case('p_partkey % 3', METHOD_CASES)}, 'bayesian_ab') AS method,
+ CASE WHEN p_partkey % 4 <> 0 THEN 'v0' ELSE 'false' END AS control, {_sql_case('p_partkey % 5', TREATMENTS_OUT)} AS treatments,
+ CAST(CASE WHEN p_partkey % 11 <> 0 THEN DATE '2024-01-01' + CAST(p_partkey % 60 AS INTEGER) ELSE DATE '2024-01-02' END AS VARCHAR) AS start_date,
+ CAST(CASE WHEN p_size % 5 <> 0 THEN DATE '2024-01-01' + CAST(p_partkey % 60 AS INTEGER) + p_size ELSE DATE '2024-02-01' END AS VARCHAR) AS end_date,
+ p_partkey % 2 = 0 AS prior_proper, 0.0 AS prior_mean, CASE WHEN p_partkey % 7 = 0 THEN 0.1 ELSE 0.3 END AS prior_stddev,
+ CASE WHEN p_partkey % 3 <> 0 THEN p_size ELSE 0 END AS minimum_sample FROM part""")
 def b11(spark, d):
-    bare = fx.table(spark, d, "region").select(F.concat(F.lit("bare-"), F.col("r_regionkey").cast("string")).alias("run_id"))
-    both = fx.raw_runs(spark, d).unionByName(bare, allowMissingColumns=True)
-    x = normalize.run_defaults(both, fx.AS_OF)
+    x = normalize.run_defaults(sparse_runs(spark, d), fx.AS_OF)
     return x.select(
         "run_id", "method", "control", F.concat_ws("|", "treatments").alias("treatments"),
         F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"),
@@ -266,6 +291,14 @@ def b11(spark, d):
     )
 
 
+@query("i18_arm_thresholds", f"""
+WITH a AS (SELECT p_partkey AS run_id, CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 1 END AS arms FROM part)
+SELECT run_id, arms, {r('1 - 0.05 / arms', 6)} AS p_win_threshold, {r('1 - 0.95 ** arms', 6)} AS family_error FROM a""")
+def i18(spark, d):
+    t = decision.thresholds(normalize.run_defaults(sparse_runs(spark, d), fx.AS_OF))
+    return t.select("run_id", "arms", rnd("p_win_threshold", 6), rnd("family_error", 6))
+
+
 @query("b13_run_violations", "WITH " + PARTS + """
 SELECT run_id, 'Invalid status "running". Valid: draft | collecting | analyzing | decided | archived' ||
  CASE WHEN run_id % 3 = 0 THEN '; Invalid decision "SHIP". Valid: CONTINUE | PAUSE | ROLLBACK | INCONCLUSIVE' ELSE '' END AS violations
@@ -333,9 +366,12 @@ def b15(spark, d):
     return m.select("id", "new_stage", "new_primary_metric", "new_guardrails", "run_guardrail_events", "changed")
 
 
-@query("g1_union_of_specs", W + "SELECT run_id, metric_ord AS ord, event_name, role FROM specs")
+@query("g1_union_of_specs", """
+SELECT p_partkey AS run_id, 0 AS ord, p_type AS event_name, 'primary' AS role FROM part
+UNION ALL SELECT p_partkey, g.ord, g.event, 'guardrail' FROM part, (VALUES (0, 1, 'page_bounce'), (0, 2, 'latency'), (1, 1, 'bounce'), (1, 2, 'exit'), (2, 1, 'err')) g(kind, ord, event)
+WHERE g.kind = p_partkey % 6""")
 def g1(spark, d):
-    s = fx.specs(spark, d)
+    s = normalize.metric_specs(normalize.run_defaults(sparse_runs(spark, d), fx.AS_OF))
     primary = s.where(F.col("role") == "primary").drop("metric_ord")
     guards = s.where(F.col("role") == "guardrail").withColumn("metric_ord", F.col("metric_ord") - 1)
     return normalize.union_specs(primary, guards).select("run_id", "ord", "event_name", "role")
