@@ -295,7 +295,7 @@ def _samples(spark, d):
     ).select(F.lit("all").alias("run_id"), "draw", "arm_idx", "value", F.lit(False).alias("inverse"))
 
 
-@query("e2_rank_arms", "WITH " + SAMPLES + " SELECT draw, arm_idx, rank FROM rk")
+@query("e2_rank_arms", "WITH " + SAMPLES + " SELECT draw, arm_idx, CAST(rank AS INTEGER) AS rank FROM rk")
 def e2(spark, d):
     return bandit.rank_draws(_samples(spark, d)).select("draw", "arm_idx", "rank")
 

@@ -171,7 +171,7 @@ def f2(spark, d):
 
 
 @query("f3_latest_activities", """
-SELECT experiment_id, activity_id, rank FROM (SELECT user_id AS experiment_id, event_id AS activity_id,
+SELECT experiment_id, activity_id, CAST(rank AS INTEGER) AS rank FROM (SELECT user_id AS experiment_id, event_id AS activity_id,
  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= 20""")
 def f3(spark, d):
     activities = fx.raw_events(spark, d).select(
@@ -280,7 +280,7 @@ SELECT p_partkey AS run_id, coalesce({_sql_case('p_partkey % 3', METHOD_CASES)},
  CASE WHEN p_partkey % 4 <> 0 THEN 'v0' ELSE 'false' END AS control, {_sql_case('p_partkey % 5', TREATMENTS_OUT)} AS treatments,
  CAST(CASE WHEN p_partkey % 11 <> 0 THEN DATE '2024-01-01' + CAST(p_partkey % 60 AS INTEGER) ELSE DATE '2024-01-02' END AS VARCHAR) AS start_date,
  CAST(CASE WHEN p_size % 5 <> 0 THEN DATE '2024-01-01' + CAST(p_partkey % 60 AS INTEGER) + p_size ELSE DATE '2024-02-01' END AS VARCHAR) AS end_date,
- p_partkey % 2 = 0 AS prior_proper, 0.0 AS prior_mean, CASE WHEN p_partkey % 7 = 0 THEN 0.1 ELSE 0.3 END AS prior_stddev,
+ p_partkey % 2 = 0 AS prior_proper, 0.0::DOUBLE AS prior_mean, CASE WHEN p_partkey % 7 = 0 THEN 0.1 ELSE 0.3 END::DOUBLE AS prior_stddev,
  CASE WHEN p_partkey % 3 <> 0 THEN p_size ELSE 0 END AS minimum_sample FROM part""")
 def b11(spark, d):
     x = normalize.run_defaults(sparse_runs(spark, d), fx.AS_OF)

@@ -62,7 +62,7 @@ FROM ev GROUP BY batch_id, state""")
 def a1(spark, d):
     decoded = pl.decode_payloads(payload_batches(spark, d))
     return decoded.select(
-        "batch_id", "error", F.when(F.col("error").isNull(), F.size("payloads")).otherwise(0).alias("payloads")
+        "batch_id", "error", F.when(F.col("error").isNull(), F.size("payloads")).otherwise(0).cast("bigint").alias("payloads")
     )
 
 
@@ -159,7 +159,7 @@ SELECT batch_id, CASE state WHEN 'good' THEN count(*) ELSE 0 END AS payloads,
  CASE state WHEN 'good' THEN count(*) FILTER (event_type = 'view') ELSE 0 END AS evaluations,
  CASE state WHEN 'good' THEN count(*) FILTER (event_type <> 'view') ELSE 0 END AS events,
  CASE state WHEN 'good' THEN count(*) ELSE 0 END AS accepted,
- CASE state WHEN 'good' THEN 0 ELSE 1 END AS rejected
+ CAST(CASE state WHEN 'good' THEN 0 ELSE 1 END AS BIGINT) AS rejected
 FROM ev GROUP BY batch_id, state""")
 def a10(spark, d):
     return pl.ingest_counts(pl.decode_payloads(payload_batches(spark, d)))
@@ -216,7 +216,7 @@ def a11_rejected(spark, d):
 @query("a12_routed_metrics", f"""
 WITH s AS (SELECT s_suppkey AS key, CAST(s_suppkey AS VARCHAR) AS run_id FROM supplier),
 bad AS (SELECT run_id, CASE WHEN key % 7 = 0 THEN 'no route for metric "revenue"' WHEN key % 5 = 0 THEN 'no reply from p2|/rev' END AS error FROM s)
-SELECT s.run_id, m.metric, m.ord AS metric_ord, m.variant, m.n + key % 10.0 AS n, m.k AS k, {r('m.mean', 4)} AS mean, CAST(NULL AS VARCHAR) AS error
+SELECT s.run_id, m.metric, m.ord AS metric_ord, m.variant, (m.n + key % 10)::DOUBLE AS n, m.k::DOUBLE AS k, {r('m.mean', 4)} AS mean, CAST(NULL AS VARCHAR) AS error
 FROM s JOIN bad USING (run_id), (VALUES ('conversion', 0, 'control', 100.0, 10.0, NULL), ('conversion', 0, 'treatment', 110.0, 12.0, NULL),
  ('revenue', 1, 'control', 100.0, NULL, 5.5), ('clicks', 2, 'control', 50.0, 3.0, NULL)) m(metric, ord, variant, n, k, mean) WHERE bad.error IS NULL
 UNION ALL SELECT run_id, NULL, NULL, NULL, NULL, NULL, NULL, error FROM bad WHERE error IS NOT NULL""")
@@ -258,13 +258,13 @@ def a13(spark, d):
 
 @query("a14_manual_rows", """
 SELECT CAST(c_custkey AS VARCHAR) AS run_id, 'm' AS metric, 'v' || CAST(c_custkey % 3 AS VARCHAR) AS variant, (c_custkey % 90)::DOUBLE AS n,
- CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN 7.0 ELSE 0.0 END END AS k,
- CASE WHEN c_custkey % 2 = 1 THEN 3.5 END AS "sum", CASE WHEN c_custkey % 2 = 1 THEN 0.0 END AS sum_squares,
+ CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN 7.0 ELSE 0.0 END END::DOUBLE AS k,
+ CASE WHEN c_custkey % 2 = 1 THEN 3.5 END::DOUBLE AS "sum", CASE WHEN c_custkey % 2 = 1 THEN 0.0 END::DOUBLE AS sum_squares,
  c_custkey % 10 = 0 AS inverse
 FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 90 > 0
 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'm', 'v' || CAST(c_custkey % 3 AS VARCHAR), (c_custkey % 90)::DOUBLE,
- CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN 7.0 ELSE 0.0 END END, CASE WHEN c_custkey % 2 = 1 THEN 3.5 END,
- CASE WHEN c_custkey % 2 = 1 THEN 0.0 END, c_custkey % 10 = 0
+ CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN 7.0 ELSE 0.0 END END::DOUBLE, CASE WHEN c_custkey % 2 = 1 THEN 3.5 END::DOUBLE,
+ CASE WHEN c_custkey % 2 = 1 THEN 0.0 END::DOUBLE, c_custkey % 10 = 0
 FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 7 <> 0 AND c_custkey % 90 > 0""")
 def a14(spark, d):
     key = F.col("c_custkey")
