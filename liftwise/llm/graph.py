@@ -31,7 +31,6 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "components")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "components")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from liftwise.llm.language import held_out, identify_languages, train_languages
 from liftwise.llm.near_text import near_text_components
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op5_ngram_jaccard_join")
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    model = train_languages(docs.where("not held_out").select("doc_id", "text", "lang"))
+    return identify_languages(docs, model, ["doc_id", "held_out"])

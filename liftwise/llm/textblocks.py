@@ -34,22 +34,33 @@ class Block:
 
 def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cut a string column into blocks of about ``size`` bytes; a longer text is a block of its own. Null reads as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
-    _, ends, data = column.buffers()
-    offsets = np.frombuffer(ends, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    data, offsets = _views(column)
     first = 0
     while first < len(column):
         last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), len(column))
-        base = offsets[first]
-        yield Block(first, last, data[base : offsets[last]], offsets[first : last + 1] - base)
+        yield _block(data, offsets, first, last)
         first = last
 
 
+def same_rows(column: pa.Array, block: Block) -> Block:
+    """The rows of ``block`` in another column of its batch."""
+    return _block(*_views(column), block.first, block.last)
+
+
+def _views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.fill_null("")
+    wide = pa.types.is_large_string(column.type)
+    _, ends, data = column.buffers()
+    offsets = np.frombuffer(ends, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
+
+
+def _block(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> Block:
+    base = offsets[first]
+    return Block(first, last, data[base : offsets[last]], offsets[first : last + 1] - base)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of unsigned 64-bit integers (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -85,9 +96,10 @@ class Words:
     hash: np.ndarray
 
 
-def words(block: Block, table: np.ndarray = WHITE) -> Words:
+def words(block: Block, table: np.ndarray = WHITE, inside: np.ndarray | None = None) -> Words:
+    """Words are runs of bytes that ``inside`` marks, by default all but the table's separators."""
     data, n = block.data, len(block.data)
-    inside = table[data] != 0
+    inside = table[data] != 0 if inside is None else inside
     edge = np.zeros(n + 1, bool)
     edge[block.offsets] = True
     starts = np.flatnonzero(inside & (edge[:n] | ~np.concatenate(([False], inside[:-1])))) if n else np.zeros(0, np.int64)
