@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from liftwise.llm.decontaminate import find_leaks
 from liftwise.llm.language import held_out, identify_languages, train_languages
 from liftwise.llm.near_text import near_text_components
 
@@ -39,3 +40,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
     model = train_languages(docs.where("not held_out").select("doc_id", "text", "lang"))
     return identify_languages(docs, model, ["doc_id", "held_out"])
+
+
+@query("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
