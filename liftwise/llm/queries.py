@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from liftwise.llm.decontaminate import find_leaks
 from liftwise.llm.language import held_out, identify_languages, train_languages
 from liftwise.llm.near_text import near_text_components
+from liftwise.llm.surrogates import replace_entities
+
+#: Stands for the secret that a deployment keeps.
+SURROGATE_KEY = "surrogates-of-this-corpus"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,3 +49,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_pii_surrogates")
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_entities(docs, SURROGATE_KEY, count_col="n_entities")
