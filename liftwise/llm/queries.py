@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from liftwise.llm.decontaminate import find_leaks
 from liftwise.llm.language import held_out, identify_languages, train_languages
+from liftwise.llm.license_scan import scan_licenses
 from liftwise.llm.near_text import near_text_components
+from liftwise.llm.sharding import place
 from liftwise.llm.surrogates import replace_entities
+from liftwise.llm.url_filter import filter_urls
 
 #: Stands for the secret that a deployment keeps.
 SURROGATE_KEY = "surrogates-of-this-corpus"
@@ -55,3 +58,25 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return replace_entities(docs, SURROGATE_KEY, count_col="n_entities")
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+#: Rules of the URL filter, longest first where several fit.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query("op3_url_filter")
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(16)]
+
+
+@query("op4_sharding")
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents"), "doc_id", SHARDS, 4_099)
