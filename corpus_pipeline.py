@@ -1,22 +1,68 @@
-"""Training-data pipeline: each stage works on all that the stage before it kept."""
+"""Training-data pipeline: each stage works on all that the stage before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next one's docs. Rows need not be unique, and
+columns beside doc_id, text and lang are passed on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from liftwise.llm.decontaminate import without_leaks
+from liftwise.llm.language import UNKNOWN, identify_languages, train_languages
 from liftwise.llm.near_text import near_text_components
+from liftwise.llm.pieces import encode_pieces, load_vocabulary
+from liftwise.llm.queries import SURROGATE_KEY, piece_model
+from liftwise.llm.surrogates import replace_entities
 from liftwise.session import materialize
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents without a letter, and those that no language's codeword is clearly nearest to."""
+    names = docs.columns
+    model = train_languages(docs.select("doc_id", "text", "lang"))
+    plain = docs.toDF(*[c if c == "text" else f"in_{c}" for c in names])
+    judged = identify_languages(plain, model, plain.columns)
+    kept = judged.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(plain.columns)
+    return kept.toDF(*names)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep, of each group of near-duplicate texts, the document with the smallest id."""
-    found = near_text_components(docs)
-    kept = found.where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Keep, of each group of near-duplicate texts, the document with the smallest id.
+
+    Documents without words, which link with nothing, all stay; so do those of groups without any id.
+    """
+    found = near_text_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped")).distinct()
+    return docs.join(found, docs["doc_id"] == found["dropped"], "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that give a benchmark item away."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by surrogates; n_chars follows the new text."""
+    changed = replace_entities(docs, SURROGATE_KEY)
+    return changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else changed
+
+
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add pieces and n_pieces, a sampled segmentation that decodes to the text."""
+    return encode_pieces(docs, load_vocabulary(piece_model()), docs.columns)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("piece_encoding", piece_encoding),
+]
 
+#: Language scores, surrogates and sampled segmentations have no SQL form; tests compare with plain restatements.
 ORACLE_SQL = None
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from liftwise.llm.decontaminate import find_leaks
 from liftwise.llm.language import held_out, identify_languages, train_languages
 from liftwise.llm.license_scan import scan_licenses
 from liftwise.llm.near_text import near_text_components
+from liftwise.llm.pieces import decode_pieces, encode_pieces, load_vocabulary
 from liftwise.llm.sharding import place
 from liftwise.llm.surrogates import replace_entities
 from liftwise.llm.url_filter import filter_urls
@@ -80,3 +82,19 @@ SHARDS = [f"shard-{i:02d}" for i in range(16)]
 @query("op4_sharding")
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), "doc_id", SHARDS, 4_099)
+
+
+def piece_model() -> str:
+    """Path of the installed SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = load_vocabulary(piece_model())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    coded = encode_pieces(docs, vocabulary, ["doc_id", "text_hash"])
+    decoded = decode_pieces(coded.withColumn("pieces_hash", F.xxhash64("pieces")), vocabulary, ["doc_id", "text_hash", "n_pieces", "pieces_hash"])
+    return decoded.select("doc_id", "n_pieces", "pieces_hash", (F.xxhash64("decoded") == F.col("text_hash")).alias("lossless"))

@@ -75,10 +75,11 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) | np.uint64(1)
 
 
-def byte_table(separators: bytes, salt: int = 11) -> np.ndarray:
-    """Value of each byte in word hashes: 0 for separators, A-Z as a-z."""
+def byte_table(separators: bytes, salt: int = 11, fold: bool = True) -> np.ndarray:
+    """Value of each byte in word hashes: 0 for separators, A-Z as a-z if ``fold``."""
     table = seeds(256, salt)
-    table[65:91] = table[97:123]
+    if fold:
+        table[65:91] = table[97:123]
     table[np.frombuffer(separators, np.uint8)] = 0
     return table
 
