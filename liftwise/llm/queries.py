@@ -11,6 +11,7 @@ from liftwise.llm.decontaminate import find_leaks
 from liftwise.llm.language import held_out, identify_languages, train_languages
 from liftwise.llm.license_scan import scan_licenses
 from liftwise.llm.near_text import near_text_components
+from liftwise.llm.near_vectors import near_vector_components
 from liftwise.llm.pieces import decode_pieces, encode_pieces, load_vocabulary
 from liftwise.llm.sharding import place
 from liftwise.llm.surrogates import replace_entities
@@ -98,3 +99,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_pieces(docs, vocabulary, ["doc_id", "text_hash"])
     decoded = decode_pieces(coded.withColumn("pieces_hash", F.xxhash64("pieces")), vocabulary, ["doc_id", "text_hash", "n_pieces", "pieces_hash"])
     return decoded.select("doc_id", "n_pieces", "pieces_hash", (F.xxhash64("decoded") == F.col("text_hash")).alias("lossless"))
+
+
+@query("op6_embedding_near_dedup")
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vector_components(table(spark, sf_dir, "embeddings"))
