@@ -14,7 +14,9 @@ from liftwise.llm.near_text import near_text_components
 from liftwise.llm.near_vectors import near_vector_components
 from liftwise.llm.pieces import decode_pieces, encode_pieces, load_vocabulary
 from liftwise.llm.sharding import place
+from liftwise.llm.surrogates import PATTERN as ENTITY_PATTERN
 from liftwise.llm.surrogates import replace_entities
+from liftwise.llm.token_counts import count_tokens, load_ranks, pattern_edits, recount_edited
 from liftwise.llm.url_filter import filter_urls
 
 #: Stands for the secret that a deployment keeps.
@@ -104,3 +106,20 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_embedding_near_dedup")
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vector_components(table(spark, sf_dir, "embeddings"))
+
+
+def ranks_and_pattern() -> tuple[dict[bytes, int], str]:
+    """Byte-pair ranks and pre-token pattern of the installed tokenizer."""
+    import public_tokenizers
+
+    return load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after its personal data is taken out."""
+    ranks, pattern = ranks_and_pattern()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", pattern_edits("text", ENTITY_PATTERN, "[removed]").alias("edits"))
+    counted = count_tokens(docs, ranks, pattern, ["doc_id", "text", "edits"])
+    done = recount_edited(counted, ranks, pattern, ["doc_id", "n_tokens"])
+    return done.select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "encoded_chars", F.xxhash64("edited").alias("edited_hash"))
