@@ -2,8 +2,8 @@
 
 All runs and all metrics are served by one plan:
 
-1. ``first_exposures``: evaluations meet the (broadcast) run table in the map
-   stage, and are reduced to one row per (run, user) before anything wide moves.
+1. ``first_exposures``: evaluations meet the run table, in the map stage when it
+   is small enough to broadcast, and are reduced to one row per (run, user) before anything wide moves.
 2. ``user_totals``: events are shuffled once, by user, whatever the number of
    runs and metrics, and only then meet exposures and metric specs. Runs and
    metrics multiply rows after the shuffle, inside a map-side aggregate.
@@ -28,10 +28,6 @@ from pyspark.sql import Window
 from liftwise.functions.hashing import user_order_hash
 from liftwise.operators import filters as fl
 from liftwise.operators.normalize import canonical_agg
-from liftwise.session import pin_if_small
-
-# At most this many flags or event names are pushed into the scan as literals.
-MAX_PUSHED_KEYS = 200
 
 
 @dataclass(frozen=True)
@@ -61,18 +57,14 @@ NO_FILTERS = DesignFilters()
 
 @dataclass(frozen=True)
 class Design:
-    """Runs and metric specs, read once and checked to be small enough to broadcast.
+    """Runs and metric specs as plain frames; Spark decides by their bytes how to join them.
 
-    ``window`` spans all runs; ``flags`` and ``events`` are the distinct keys to
-    push into the scans, or ``None`` when there are too many or the design is
-    too large to be held.
+    ``window`` spans all runs, to be pushed into the scans.
     """
 
     runs: DataFrame
     specs: DataFrame | None
     window: tuple[dt.date, dt.date] | None
-    flags: tuple[list[str], list[str]] | None
-    events: tuple[list[str], list[str]] | None
 
     @property
     def metrics(self) -> DataFrame:
@@ -86,15 +78,8 @@ _RUN_OPTIONS = ("method", "traffic_percent", "traffic_offset", "layer_id", "audi
 _SPEC_COLUMNS = ("run_id", "env_id", "metric_ord", "role", "event_name", "metric_type", "metric_agg", "inverse")
 
 
-def _distinct_keys(rows: list[dict] | None, *columns: str) -> tuple[list[str], list[str]] | None:
-    if rows is None:
-        return None
-    found = [sorted({row[c] for row in rows if row[c] is not None}) for c in columns]
-    return None if any(len(values) > MAX_PUSHED_KEYS for values in found) else (found[0], found[1])
-
-
 def load_design(runs: DataFrame, specs: DataFrame | None = None) -> Design:
-    """Read the design tables; each costs one bounded job.
+    """Pick the columns the plans need; the only job is one aggregate row, the span of all runs.
 
     ``runs`` needs run_id, env_id, flag_key, start_date, end_date and may carry
     the columns the optional filters use. ``specs`` comes from ``metric_specs``.
@@ -104,31 +89,18 @@ def load_design(runs: DataFrame, specs: DataFrame | None = None) -> Design:
         fl.day_start(F.col("start_date")).alias("from_ts"),
         fl.day_start(F.date_add("end_date", 1)).alias("until_ts"),
     ]
-    slim, rows = pin_if_small(runs.select(*_RUN_COLUMNS, *options, *bounds))
-    if rows is None:
-        span = slim.agg(F.min("start_date"), F.max("end_date")).first()
-        window = None if span[0] is None or span[1] is None else (span[0], span[1])
-    else:
-        starts = [row["start_date"] for row in rows if row["start_date"] is not None]
-        ends = [row["end_date"] for row in rows if row["end_date"] is not None]
-        window = (min(starts), max(ends)) if starts and ends else None
-    metrics, metric_rows = (None, None)
-    if specs is not None:
-        canonical = canonical_agg(F.col("metric_type"), F.col("metric_agg"))
-        metrics, metric_rows = pin_if_small(specs.select(*_SPEC_COLUMNS).withColumn("metric_agg", canonical))
-    return Design(
-        slim, metrics, window,
-        _distinct_keys(rows, "env_id", "flag_key"), _distinct_keys(metric_rows, "env_id", "event_name"),
-    )
+    slim = runs.select(*_RUN_COLUMNS, *options, *bounds)
+    span = slim.agg(F.min("start_date"), F.max("end_date")).first()
+    window = None if span[0] is None or span[1] is None else (span[0], span[1])
+    if specs is None:
+        return Design(slim, None, window)
+    canonical = canonical_agg(F.col("metric_type"), F.col("metric_agg"))
+    return Design(slim, specs.select(*_SPEC_COLUMNS).withColumn("metric_agg", canonical), window)
 
 
-def _scan(df: DataFrame, design: Design, keys: tuple[list[str], list[str]] | None, key: str) -> DataFrame:
-    """Restrict a scan to the months, instants and keys the design asks for."""
-    if design.window is not None:
-        df = fl.scan_window(df, *design.window)
-    if keys is not None:
-        df = df.where(F.col("env_id").isin(keys[0]) & F.col(key).isin(keys[1]))
-    return df
+def _scan(df: DataFrame, design: Design) -> DataFrame:
+    """Restrict a scan to the months and instants of all runs."""
+    return df if design.window is None else fl.scan_window(df, *design.window)
 
 
 def exposures_in_runs(evals: DataFrame, design: Design, options: DesignFilters = NO_FILTERS) -> DataFrame:
@@ -139,7 +111,7 @@ def exposures_in_runs(evals: DataFrame, design: Design, options: DesignFilters =
     if options.audience:
         slim = slim.withColumn("run_rules", fl.audience_rules(F.col("run_audience_filters")))
     paired = (
-        _scan(evals, design, design.flags, "flag_key")
+        _scan(evals, design)
         .join(slim, ["env_id", "flag_key"])
         .where((F.col("timestamp") >= F.col("from_ts")) & (F.col("timestamp") < F.col("until_ts")))
     )
@@ -249,14 +221,13 @@ def attributed_events(events: DataFrame, exposures: DataFrame, design: Design) -
     Events no run asks for are dropped before the shuffle, as are all columns
     but five.
     """
-    wanted = design.metrics.select("env_id", "event_name").distinct()
-    found = _scan(events, design, design.events, "event_name").select(
+    wanted = design.metrics.select("env_id", "event_name")
+    found = _scan(events, design).select(
         "env_id", "user_key", "event_name",
         F.col("timestamp").alias("event_ts"),
         F.coalesce("numeric_value", F.lit(0.0)).alias("value"),
     )
-    if design.events is None:
-        found = found.join(wanted, ["env_id", "event_name"], "left_semi")
+    found = found.join(wanted, ["env_id", "event_name"], "left_semi")
     ends = design.runs.select("run_id", "until_ts")  # the exposure bounds the other side
     spec = design.metrics.select("run_id", "event_name", "metric_ord", "metric_agg")
     return (

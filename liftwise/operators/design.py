@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from liftwise.operators.normalize import metric_title
 from liftwise.schemas import ACTIVE_STATUSES
-from liftwise.session import pin_if_small
 
 OPEN_END = "2099-12-31"
 
@@ -126,10 +125,10 @@ def conflicts_of(experiments: DataFrame, focus: DataFrame) -> DataFrame:
     columns = ["experiment_id", "stage", F.col("flag_key").alias("flag"), metric_title(F.col("primary_metric")).alias("metric"),
                audience_signals(F.col("constraints")).alias("signals")]
     everyone = experiments.select(*columns)
-    asked, _ = pin_if_small(focus.select("experiment_id").distinct())
-    mine, _ = pin_if_small(everyone.join(asked, "experiment_id", "left_semi").select(
+    asked = focus.select("experiment_id").distinct()
+    mine = everyone.join(asked, "experiment_id", "left_semi").select(
         F.col("experiment_id").alias("focus_id"), "flag", "metric", "signals"
-    ))
+    )
     others = everyone.where(F.col("stage") != "learning")
 
     def pairs(left: DataFrame, right: DataFrame, key: str, dimension: str) -> DataFrame:
@@ -163,15 +162,11 @@ def conflicts_of(experiments: DataFrame, focus: DataFrame) -> DataFrame:
         )).alias("dimensions"),
         F.array_compact(F.array(
             F.when(flag, F.concat(
-                F.lit('Both experiments use the same feature flag: "'), "flag",
-                F.lit('". Concurrent flag changes will interfere with each other\'s traffic allocation.'))),
+                F.lit('Flag "'), "flag", F.lit('" is shared: each experiment changes who the other one reaches.'))),
             F.when(metric, F.concat(
-                F.lit('Both experiments measure "'), "metric",
-                F.lit('" as primary metric. Simultaneous treatments may confound attribution — a lift observed in one '
-                      "experiment could be caused by the other."))),
+                F.lit('Primary metric "'), "metric", F.lit('" is shared: an effect can belong to either experiment.'))),
             F.when(audience, F.concat(
-                F.lit("Audience overlap detected on: "), F.concat_ws(", ", "signals"),
-                F.lit(". Users may be enrolled in both experiments simultaneously."))),
+                F.lit("Audiences meet in "), F.concat_ws(", ", "signals"), F.lit(": users can be in both experiments."))),
         )).alias("details"),
         severity(flag, metric).alias("severity"),
     )
@@ -185,7 +180,7 @@ def shared_signals(left: Column, right: Column) -> Column:
 def _windows(runs: DataFrame) -> DataFrame:
     start = F.col("observation_start").cast("timestamp")
     end = F.coalesce(F.col("observation_end").cast("timestamp"), F.lit(OPEN_END).cast("timestamp"))
-    return runs.where(start.isNotNull()).select(
+    return runs.where(start.isNotNull() & (F.trim("flag_key") != "")).select(
         "run_id", "experiment_id", "flag_key", "status", start.alias("from_ts"), end.alias("to_ts")
     )
 
@@ -209,15 +204,27 @@ def _upto_counts(points: DataFrame, probes: DataFrame, keys: list[str], at: str,
     return summed.join(before, [*keys, "_day"]).select(*keys, F.col("_at"), (F.col("_before") + F.col("_within")).alias(name))
 
 
-def overlap_counts(runs: DataFrame) -> DataFrame:
+def _active(windows: DataFrame, experiments: DataFrame | None) -> DataFrame:
+    """Windows of runs that are not over; experiments in ``learning`` are."""
+    active = windows.where(F.col("status").isin(*ACTIVE_STATUSES))
+    if experiments is None:
+        return active
+    over = experiments.where(F.col("stage") == "learning").select("experiment_id").distinct()
+    return active.join(over, "experiment_id", "left_anti")
+
+
+def overlap_counts(runs: DataFrame, experiments: DataFrame | None = None) -> DataFrame:
     """Per undecided run, how many active runs of other experiments on its flag overlap its window.
 
+    Runs without a flag overlap with nothing and are left out; with
+    ``experiments`` (experiment_id, stage), runs of learning ones don't count.
+
     Overlapping = started by my end, minus ended before my start. The run's own
     experiment is counted the same way and taken off. No pairs are formed.
     """
     windows = _windows(runs)
     mine = windows.where(F.col("status") != "decided")
-    theirs = windows.where(F.col("status").isin(*ACTIVE_STATUSES))
+    theirs = _active(windows, experiments)
 
     def overlaps(keys: list[str], name: str) -> DataFrame:
         started = _upto_counts(theirs, mine.withColumn("_at", F.col("to_ts")), keys, "from_ts", False, "_started")
@@ -235,74 +242,78 @@ def overlap_counts(runs: DataFrame) -> DataFrame:
     )
 
 
-def overlaps_of(runs: DataFrame, focus: DataFrame) -> DataFrame:
-    """Overlapping windows of the asked-for experiments' runs, run by run."""
+def overlaps_of(runs: DataFrame, focus: DataFrame, experiments: DataFrame | None = None) -> DataFrame:
+    """Overlapping windows of the asked-for experiments' runs, run by run.
+
+    For one experiment or a few: every pair is a row. ``overlap_counts`` serves all of them.
+    """
     windows = _windows(runs)
-    asked, _ = pin_if_small(focus.select("experiment_id").distinct())
-    mine, _ = pin_if_small(
-        windows.where(F.col("status") != "decided").join(asked, "experiment_id", "left_semi").select(
-            F.col("run_id").alias("focus_run"), F.col("experiment_id").alias("focus_id"), "flag_key",
-            F.col("from_ts").alias("_a"), F.col("to_ts").alias("_b"),
-        )
+    asked = focus.select("experiment_id").distinct()
+    mine = windows.where(F.col("status") != "decided").join(asked, "experiment_id", "left_semi").select(
+        F.col("run_id").alias("focus_run"), F.col("experiment_id").alias("focus_id"), "flag_key",
+        F.col("from_ts").alias("_a"), F.col("to_ts").alias("_b"),
     )
-    theirs = windows.where(F.col("status").isin(*ACTIVE_STATUSES))
+    theirs = _active(windows, experiments)
     day = "yyyy-MM-dd"
     return theirs.join(mine, "flag_key").where(
         (F.col("experiment_id") != F.col("focus_id")) & (F.col("_a") <= F.col("to_ts")) & (F.col("from_ts") <= F.col("_b"))
     ).select(
         "focus_run", "run_id", "flag_key",
         F.concat(
-            F.lit('Observation windows overlap: "'), "focus_run", F.lit('" ('), F.date_format("_a", day), F.lit("–"),
-            F.date_format("_b", day), F.lit(') vs "'), "run_id", F.lit('" ('), F.date_format("from_ts", day), F.lit("–"),
-            F.date_format("to_ts", day), F.lit(")."),
+            F.lit('Run "'), "focus_run", F.lit('" of '), F.date_format("_a", day), F.lit(" to "), F.date_format("_b", day),
+            F.lit(' runs beside "'), "run_id", F.lit('" of '), F.date_format("from_ts", day), F.lit(" to "), F.date_format("to_ts", day),
         ).alias("detail"),
     )
 
 
+# Buckets hash user and flag, so slices meet only within a flag, and a layer filters its rows.
+_POOL = ("env_id", "flag_key", "layer")
+
+
 def _slices(runs: DataFrame) -> DataFrame:
     start = F.coalesce(F.col("traffic_offset").cast("int"), F.lit(0))
     percent = F.coalesce(F.col("traffic_percent").cast("double"), F.lit(100.0))
     return runs.select(
-        "run_id", F.coalesce("layer_id", F.lit("default")).alias("layer"), start.alias("start"),
+        "run_id", *_POOL[:2], F.coalesce("layer_id", F.lit("default")).alias("layer"), start.alias("start"),
         F.least(start + percent, F.lit(100.0)).alias("end"),
     )
 
 
 def traffic_allocation(runs: DataFrame) -> DataFrame:
-    """Segments of each layer's 0-100 bucket range: run slices and the gaps between them.
+    """Segments of the 0-100 bucket range of each (environment, flag, layer): run slices and the gaps between them.
 
     Slices go by offset, then run id, and a gap opens where a slice starts after
     the previous one ended. Slices of one offset cannot leave a gap between them,
-    so gaps follow from one row per (layer, offset), at most 100 per layer.
+    so gaps follow from one row per pool and offset, at most 100 per pool.
     """
     slices = _slices(runs)
-    steps = slices.groupBy("layer", "start").agg(F.max_by("end", "run_id").alias("end"))
-    by_offset = Window.partitionBy("layer").orderBy("start")
+    steps = slices.groupBy(*_POOL, "start").agg(F.max_by("end", "run_id").alias("end"))
+    by_offset = Window.partitionBy(*_POOL).orderBy("start")
     gaps = steps.select(
-        "layer", F.coalesce(F.lag("end").over(by_offset), F.lit(0.0)).alias("gap_start"), F.col("start").cast("double").alias("gap_end")
+        *_POOL, F.coalesce(F.lag("end").over(by_offset), F.lit(0.0)).alias("gap_start"), F.col("start").cast("double").alias("gap_end")
     ).where(F.col("gap_end") > F.col("gap_start"))
-    tail = steps.groupBy("layer").agg(F.max_by("end", "start").alias("gap_start")).where(F.col("gap_start") < 100)
+    tail = steps.groupBy(*_POOL).agg(F.max_by("end", "start").alias("gap_start")).where(F.col("gap_start") < 100)
     free = gaps.unionByName(tail.withColumn("gap_end", F.lit(100.0)))
     return slices.select(
-        "layer", F.lit("run").alias("kind"), "run_id", F.col("start").cast("double").alias("start"), "end"
+        *_POOL, F.lit("run").alias("kind"), "run_id", F.col("start").cast("double").alias("start"), "end"
     ).unionByName(
-        free.select("layer", F.lit("gap").alias("kind"), F.lit(None).cast("string").alias("run_id"),
+        free.select(*_POOL, F.lit("gap").alias("kind"), F.lit(None).cast("string").alias("run_id"),
                     F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))
     )
 
 
 def traffic_conflicts(runs: DataFrame) -> DataFrame:
-    """Slices that start before an earlier slice of their layer ends, or reach past 100.
+    """Slices that start before an earlier slice of their pool ends, or reach past 100.
 
-    The furthest end of all earlier offsets comes from one row per (layer,
-    offset); among slices of one offset every one after the first overlaps.
+    The furthest end of all earlier offsets comes from one row per pool and
+    offset; among slices of one offset every one after the first overlaps.
     """
     slices = _slices(runs)
-    steps = slices.groupBy("layer", "start").agg(
+    steps = slices.groupBy(*_POOL, "start").agg(
         F.max("end").alias("_far"), F.min("run_id").alias("_first"),
     )
-    earlier = Window.partitionBy("layer").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    reach = steps.select("layer", "start", "_first", F.max("_far").over(earlier).alias("_reach"))
+    earlier = Window.partitionBy(*_POOL).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    reach = steps.select(*_POOL, "start", "_first", F.max("_far").over(earlier).alias("_reach"))
     past = runs.select(
         "run_id",
         (F.coalesce(F.col("traffic_offset").cast("int"), F.lit(0)) + F.coalesce(F.col("traffic_percent").cast("double"), F.lit(100.0)) > 100)
@@ -312,8 +323,8 @@ def traffic_conflicts(runs: DataFrame) -> DataFrame:
         (F.col("run_id") != F.col("_first")) & (F.col("end") > F.col("start"))
     )
     return (
-        slices.join(reach, ["layer", "start"]).join(past, "run_id")
-        .select("layer", "run_id", "start", "end", overlap.alias("overlaps"), "past_end")
+        slices.join(reach, [*_POOL, "start"]).join(past, "run_id")
+        .select(*_POOL, "run_id", "start", "end", overlap.alias("overlaps"), "past_end")
         .where(F.col("overlaps") | F.col("past_end"))
     )
 

@@ -88,10 +88,17 @@ def metric_title(text: Column) -> Column:
     return F.when(title != "", title)
 
 
+def treatment_names(text: Column) -> Column:
+    """Names in a comma-separated list, ``true`` when it is absent."""
+    names = F.transform(F.split(F.coalesce(text, F.lit("true")), ","), lambda t: F.trim(t))
+    return F.filter(names, lambda t: t != "")
+
+
 def run_defaults(runs: DataFrame, as_of: dt.datetime | str) -> DataFrame:
     """Fill the defaults a run is analysed with.
 
-    Missing columns count as null. Adds ``control``, ``treatments``,
+    Missing columns count as null. A treatment named twice, or as the control,
+    is one arm. Adds ``control``, ``treatments``,
     ``start_date``, ``end_date`` and parsed ``guardrails``.
     """
     now = F.lit(as_of).cast("timestamp")
@@ -99,16 +106,14 @@ def run_defaults(runs: DataFrame, as_of: dt.datetime | str) -> DataFrame:
     def col(name: str, type_: str) -> Column:
         return F.col(name).cast(type_) if name in runs.columns else F.lit(None).cast(type_)
 
-    treatments = F.filter(
-        F.transform(F.split(F.coalesce(col("treatment_variant", "string"), F.lit("true")), ","), lambda t: F.trim(t)),
-        lambda t: t != "",
-    )
+    control = F.coalesce(col("control_variant", "string"), F.lit("false"))
+    treatments = F.array_remove(F.array_distinct(treatment_names(col("treatment_variant", "string"))), control)
     start = F.coalesce(col("observation_start", "timestamp"), now - F.expr("interval 30 days"))
     end = F.coalesce(col("observation_end", "timestamp"), now)
     derived = {
         "slug": F.coalesce(col("slug", "string"), F.lit("on-demand")),
         "method": F.coalesce(col("method", "string"), F.lit("bayesian_ab")),
-        "control": F.coalesce(col("control_variant", "string"), F.lit("false")),
+        "control": control,
         "treatments": treatments,
         "start_date": start.cast("date"),
         "end_date": end.cast("date"),
@@ -128,7 +133,8 @@ def metric_specs(runs: DataFrame) -> DataFrame:
     """One row per (run, metric): the primary first, then guardrails in order.
 
     ``runs`` comes from ``run_defaults``. An event named twice keeps the later
-    definition, as a keyed document would. An optional ``primary_inverse``
+    definition, as a keyed document would; the primary metric stays primary and
+    first, with the definition of a guardrail that has its event. An optional ``primary_inverse``
     column marks a primary metric where lower is better.
     """
     inverse = F.coalesce(F.col("primary_inverse"), F.lit(False)) if "primary_inverse" in runs.columns else F.lit(False)
@@ -160,7 +166,10 @@ def metric_specs(runs: DataFrame) -> DataFrame:
             F.slice(F.col("specs"), i + 2, F.size("specs")), lambda t: t["event"] == s["event"]
         ),
     )
-    return every.select("run_id", "env_id", F.posexplode(later).alias("metric_ord", "m")).select(
+    main = F.col("specs")[0]["event"]
+    first = F.transform(F.filter(later, lambda s: s["event"] == main), lambda s: s.withField("role", F.lit("primary")))
+    ordered = F.concat(first, F.filter(later, lambda s: s["event"] != main))
+    return every.select("run_id", "env_id", F.posexplode(ordered).alias("metric_ord", "m")).select(
         "run_id", "env_id", "metric_ord",
         F.col("m.role").alias("role"),
         F.col("m.event").alias("event_name"),
@@ -200,6 +209,11 @@ def run_violations(runs: DataFrame) -> DataFrame:
         ("primary_metric_agg", "primaryMetricAgg", METRIC_AGGS),
     ]
     present = [_not_in(c, label, allowed) for c, label, allowed in checks if c in runs.columns]
+    if "treatment_variant" in runs.columns:
+        names = treatment_names(F.col("treatment_variant"))
+        if "control_variant" in runs.columns:
+            names = F.concat(names, F.array(F.coalesce("control_variant", F.lit("false"))))
+        present.append(F.when(F.size(F.array_distinct(names)) < F.size(names), F.lit("Variants must differ from each other and from the control")))
     return runs.withColumn("violations", F.array_compact(F.array(*present)))
 
 

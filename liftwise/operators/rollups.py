@@ -43,12 +43,12 @@ def event_daily(events: DataFrame) -> DataFrame:
     )
 
 
-def exposure_daily_sketch(evals: DataFrame, precision: int = 12) -> DataFrame:
+def exposure_daily_sketch(evals: DataFrame, precision: int = 14) -> DataFrame:
     """Approximate form: a mergeable sketch of the users per (env, flag, day, variant)."""
     return evals.groupBy(*EXPOSURE_KEYS, _day()).agg(F.hll_sketch_agg("user_key", precision).alias("users_sketch"))
 
 
-def event_daily_sketch(events: DataFrame, precision: int = 12) -> DataFrame:
+def event_daily_sketch(events: DataFrame, precision: int = 14) -> DataFrame:
     """Approximate form of the event rollup, with exact counts and sums."""
     v = F.col("numeric_value")
     return events.groupBy(*EVENT_KEYS, _day()).agg(

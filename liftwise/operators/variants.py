@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftwise.session import pin_if_small
 
 
 def _primary(stats: DataFrame) -> DataFrame:
@@ -14,7 +13,7 @@ def _primary(stats: DataFrame) -> DataFrame:
 
 def _configured(runs: DataFrame) -> DataFrame:
     arms = F.posexplode(F.concat(F.array("control"), F.col("treatments"))).alias("arm_idx", "arm")
-    return pin_if_small(runs.select("run_id", F.size("treatments").alias("treatment_count"), arms))[0]
+    return runs.select("run_id", F.size("treatments").alias("treatment_count"), arms)
 
 
 def corrected_variants(stats: DataFrame, runs: DataFrame) -> DataFrame:
@@ -78,9 +77,8 @@ def variant_mismatches(stats: DataFrame, runs: DataFrame) -> DataFrame:
     )
     names = F.concat_ws(", ", F.transform("e", lambda a: a["arm"]))
     text = F.concat(
-        F.lit("Variant key mismatch: expected ["), names, F.lit("] but metric data has ["),
-        F.concat_ws(", ", "available"),
-        F.lit("]. Update the run's control/treatment variant settings to match the actual variation values."),
+        F.lit("The run is set up for ["), names, F.lit("], its data holds ["), F.concat_ws(", ", "available"),
+        F.lit("]. Set the run's variants to those of its data."),
     )
     return expected.join(lacking, "run_id").join(found, "run_id").select("run_id", "missing", "available", text.alias("warning"))
 

@@ -16,7 +16,6 @@ from liftwise.functions.moments import arm_posterior, moments
 from liftwise.functions.random import standard_normal, with_uniforms
 from liftwise.functions.rounding import to_fixed
 from liftwise.plans.bayes import run_arms, srm_p_value
-from liftwise.session import pin_if_small
 
 MIN_UNITS = 100
 MIN_WEIGHT = 0.01
@@ -27,7 +26,7 @@ STOP_AT = 0.95
 
 def bandit_arms(stats: DataFrame, runs: DataFrame) -> DataFrame:
     """Every configured arm with its moments on the primary metric; an absent arm has no users."""
-    arms, _ = pin_if_small(run_arms(runs))
+    arms = run_arms(runs)
     m = moments(*[F.col(c) for c in ("n", "k", "sum", "sum_squares", "mean", "variance")])
     primary = stats.where(F.col("role") == "primary").withColumns(m).select(
         "run_id", "variant", "metric", "inverse", "k", "m_n", "m_mean", "m_var"

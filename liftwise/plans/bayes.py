@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from liftwise.functions.distributions import chi2_sf, normal_pdf, normal_sf, z_95
 from liftwise.functions.moments import effect_se, expected_losses, moments
 from liftwise.functions.rounding import number_text, round_half_up
-from liftwise.session import pin_if_small
 
 ERROR_NO_USERS = "zero sample size"
 ERROR_ZERO_MEAN = "control mean is zero — cannot compute relative effect"
@@ -83,7 +82,7 @@ def compare(stats: DataFrame, runs: DataFrame) -> DataFrame:
     aggregates can tell what the data holds; they are windows of their own.
     Guardrails always use a flat prior.
     """
-    arms, _ = pin_if_small(run_arms(runs))
+    arms = run_arms(runs)
     if "doc_ord" not in stats.columns:
         stats = stats.withColumn("doc_ord", F.col("metric_ord"))
     m = moments(*[F.col(c) for c in ("n", "k", "sum", "sum_squares", "mean", "variance")])
@@ -275,7 +274,7 @@ def run_health(compared: DataFrame, runs: DataFrame) -> DataFrame:
     Columns: first_metric, observed (map), srm_p, srm_ok, minimum_sample,
     sample_ok, smallest.
     """
-    config, _ = pin_if_small(runs.select("run_id", "minimum_sample"))
+    config = runs.select("run_id", "minimum_sample")
     return _health_columns(_per_metric(compared).groupBy("run_id").agg(_first_counts()).join(config, "run_id"))
 
 
@@ -313,7 +312,7 @@ def bayesian_results(
             F.when(guard & F.col("section").isNotNull(), F.struct("metric_ord", F.to_json("section").alias("json")))
         )).alias("_g"),
     )
-    config, _ = pin_if_small(runs.select(*_CONFIG))
+    config = runs.select(*_CONFIG)
     joined = _health_columns(folded.join(config, "run_id"))
     if warnings is not None:
         said = warnings.groupBy("run_id").agg(F.array_sort(F.collect_list("warning")).alias("warnings"))

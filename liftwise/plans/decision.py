@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftwise.schemas import METHODS
-from liftwise.session import pin_if_small
 
 HIGH_RISK = 0.02
 LOW_RISK = 0.01
@@ -36,9 +35,9 @@ def data_status(stats: DataFrame, runs: DataFrame) -> DataFrame:
 
 def input_violations(stats: DataFrame, runs: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
     """Rows with implausible numbers or unknown variants, and absent cells where given."""
-    arms, _ = pin_if_small(runs.select(
+    arms = runs.select(
         "run_id", F.explode(F.concat(F.array("control"), F.col("treatments"))).alias("variant")
-    ).withColumn("_known", F.lit(True)))
+    ).withColumn("_known", F.lit(True))
     n = F.coalesce(F.col("n"), F.lit(0.0))
     checked = stats.join(arms, ["run_id", "variant"], "left").withColumn("violations", F.array_compact(F.array(
         F.when(n <= 0, F.lit("n must be positive")),
@@ -66,7 +65,7 @@ def conversion_floor(stats: DataFrame, floor: int = 30) -> DataFrame:
 def minimum_sample(stats: DataFrame, runs: DataFrame, floor: int = 30) -> DataFrame:
     """Users needed per variant: ``floor`` successes at the control's rate, 1000 when the rate is unknown."""
     control = stats.where(F.col("role") == "primary").join(
-        pin_if_small(runs.select("run_id", F.col("control").alias("variant")))[0], ["run_id", "variant"]
+        runs.select("run_id", F.col("control").alias("variant")), ["run_id", "variant"]
     )
     needed = F.when(F.col("k") > 0, F.ceil(F.lit(float(floor)) * F.col("n") / F.when(F.col("k") > 0, F.col("k"))))
     return runs.select("run_id").join(

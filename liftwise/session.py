@@ -1,4 +1,4 @@
-"""Session settings, scratch location and size-checked broadcasts."""
+"""Session settings and scratch location."""
 
 from __future__ import annotations
 
@@ -22,11 +22,6 @@ RUNTIME_CONF = {
     "spark.sql.legacy.timeParserPolicy": "CORRECTED",
 }
 
-# A design table (runs, metric specs, design filters) with at most this many
-# narrow rows is shipped to every task; a larger one is joined by shuffle.
-MAX_BROADCAST_ROWS = 100_000
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -75,22 +70,3 @@ def materialize(df: DataFrame, prefix: str = "liftwise") -> DataFrame:
     path = scratch_dir(df.sparkSession, prefix) + "/table"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def pin_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, list[dict] | None]:
-    """Read a design table once, if it has at most ``max_rows`` rows.
-
-    Returns a local copy to be broadcast together with its rows, or, beyond the
-    bound, the frame itself and ``None``: joins with it are then shuffled and
-    adaptive execution splits hot keys. Never more than ``max_rows + 1`` rows
-    reach the driver.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df, None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows.to_pylist()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``pin_if_small`` without the rows."""
-    return pin_if_small(df, max_rows)[0]

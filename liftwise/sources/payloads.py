@@ -10,32 +10,63 @@ from liftwise.functions.hashing import hash_bucket
 from liftwise.schemas import FLAG_EVALUATIONS, METRIC_EVENTS, PAYLOAD
 
 
+# The fields of a payload as raw text, to tell a wrong JSON type from an absent field.
+_SHAPE = "array<struct<user: string, variations: string, metrics: string>>"
+# Epoch milliseconds of the years 1 to 9999.
+_INSTANTS = (-62_135_596_800_000, 253_402_300_799_999)
+
+
 def decode_payloads(batches: DataFrame, body: str = "body") -> DataFrame:
     """Parse each batch body, a JSON array of payloads.
 
     Adds ``payloads`` and ``error``. A body that is no JSON array, or holds a
-    number that does not parse, is an ``Invalid JSON body``; an empty array is an
-    ``Empty payload``. Rejected bodies keep a null ``payloads``.
+    field of the wrong JSON type or a number that does not parse, is an ``Invalid
+    JSON body``; an empty array is an ``Empty payload``; an instant outside the
+    years 1 to 9999 is a ``Timestamp out of range``. Rejected bodies keep a null
+    ``payloads``.
+
+    Each body is parsed once: the parsed value goes through a generator, which
+    filters on it are not pushed below.
     """
     text = F.col(body)
-    parsed = batches.withColumn("payloads", F.from_json(F.when(F.ltrim(text).startswith("["), text), PAYLOAD))
+    array = F.when(F.ltrim(text).startswith("["), text)
+    once = F.explode(F.array(F.struct(F.from_json(array, PAYLOAD).alias("payloads"), F.from_json(array, _SHAPE).alias("shape"))))
+    parsed = batches.select("*", once.alias("_parsed")).select(*batches.columns, "_parsed.payloads", F.col("_parsed.shape").alias("_shape"))
 
     def wrong(value: Column, type_: str) -> Column:
         return value.isNotNull() & value.try_cast(type_).isNull()
 
+    def misshaped(s: Column) -> Column:
+        kinds = {"user": "{", "variations": "[", "metrics": "["}
+        bad = [s[name].isNotNull() & ~F.ltrim(s[name]).startswith(sign) for name, sign in kinds.items()]
+        return s.isNull() | F.coalesce(bad[0] | bad[1] | bad[2], F.lit(False))
+
+    def no_instant(value: Column) -> Column:
+        return F.coalesce(~value.try_cast("bigint").between(*_INSTANTS), F.lit(False))
+
+    def out_of_range(p: Column) -> Column:
+        late = [F.exists(p[field], lambda x: no_instant(x["timestamp"])) for field in ("variations", "metrics")]
+        return F.coalesce(late[0], F.lit(False)) | F.coalesce(late[1], F.lit(False))
+
     def wrong_payload(p: Column) -> Column:
-        bad_variation = F.exists(p["variations"], lambda v: wrong(v["timestamp"], "bigint"))
+        bad_variation = F.exists(p["variations"], lambda v: v.isNull() | wrong(v["timestamp"], "bigint"))
         bad_metric = F.exists(
-            p["metrics"], lambda m: wrong(m["timestamp"], "bigint") | wrong(m["numericValue"], "double")
+            p["metrics"], lambda m: m.isNull() | wrong(m["timestamp"], "bigint") | wrong(m["numericValue"], "double")
         )
         return F.coalesce(bad_variation, F.lit(False)) | F.coalesce(bad_metric, F.lit(False))
 
+    def unread(p: Column, s: Column) -> Column:
+        gone = [s[name].isNotNull() & p[name].isNull() for name in ("user", "variations", "metrics")]
+        return gone[0] | gone[1] | gone[2]
+
+    lost = F.exists(F.zip_with("payloads", "_shape", unread), lambda x: F.coalesce(x, F.lit(True)))
     error = (
         F.when(F.col("payloads").isNull(), F.lit("Invalid JSON body"))
         .when(F.size("payloads") == 0, F.lit("Empty payload"))
-        .when(F.exists("payloads", wrong_payload), F.lit("Invalid JSON body"))
+        .when(F.exists("_shape", misshaped) | F.exists("payloads", wrong_payload) | lost, F.lit("Invalid JSON body"))
+        .when(F.exists("payloads", out_of_range), F.lit("Timestamp out of range"))
     )
-    return parsed.withColumn("error", error).withColumn(
+    return parsed.withColumn("error", error).drop("_shape").withColumn(
         "payloads", F.when(F.col("error").isNull(), F.col("payloads"))
     )
 

@@ -38,15 +38,16 @@ def _quote(text: Column) -> Column:
     return F.substring(array, F.lit(2), F.length(array) - 2)
 
 
-def write_results(results: DataFrame, path: str, key: str = "run_id") -> None:
+def write_results(results: DataFrame, path: str, key: str = "run_id", parts: int = 64) -> None:
     """Write results so that writing a run again replaces its earlier result.
 
-    Runs are spread over a fixed number of partitions by a hash of the key; a
-    rewrite merges the partitions it touches, and only those.
+    Runs are spread over ``parts`` folders by a hash of the key, the same number
+    at every write to a path; a rewrite merges the folders it touches, and only
+    those. Results are computed once. A large folder is written by several tasks.
     """
     spark = results.sparkSession
-    parted = results.withColumn("part", F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
-    touched = [row[0] for row in parted.select("part").distinct().collect()]  # at most 64 numbers
+    parted = materialize(results.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "new-results")
+    touched = [row[0] for row in parted.select("part").distinct().collect()]  # at most ``parts`` numbers
     try:
         old = spark.read.parquet(path)
     except Exception as missing:  # no earlier results
@@ -57,7 +58,7 @@ def write_results(results: DataFrame, path: str, key: str = "run_id") -> None:
         kept = old.where(F.col("part").isin(touched)).join(parted.select(key), key, "left_anti")
         merged = kept.unionByName(parted, allowMissingColumns=True)
     staged = materialize(merged, "results")  # the sink is also an input
-    staged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    staged.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "part"
     ).parquet(path)
 

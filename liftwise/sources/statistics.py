@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from liftwise.schemas import CUSTOMER_MODES, METRIC_AGGS, METRIC_TYPES
-from liftwise.session import pin_if_small
 
 _DOCUMENT = (
     T.StructType()
@@ -140,7 +139,7 @@ def normalise_documents(documents: DataFrame) -> DataFrame:
     good = F.col("error").isNull() & F.col("variant").isNotNull()
     return cell.withColumn("error", error).select(
         "run_id", "metric_ord", "metric", "metric_type", "metric_agg", "variant",
-        F.lit(False).alias("inverse"),
+        F.lit(None).cast("boolean").alias("inverse"),
         F.when(good, n).alias("n"),
         F.when(good & binary, value("k")).alias("k"),
         none.alias("sum"), none.alias("sum_squares"),
@@ -173,6 +172,11 @@ def route_metrics(specs: DataFrame, routes: DataFrame) -> DataFrame:
     )
 
 
+def _source_key() -> Column:
+    """One text for a (run, provider, path), different for different ones whatever they hold."""
+    return F.to_json(F.array(*[F.col(c).cast("string") for c in ("run_id", "provider", "path")]))
+
+
 def read_routed(routed: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Statistics of runs whose metrics come from several sources, each document read once.
 
@@ -185,7 +189,7 @@ def read_routed(routed: DataFrame, documents: DataFrame) -> tuple[DataFrame, Dat
         .agg(F.count("*").alias("_metrics"), F.max("error").alias("_route_error"))
     )
     asked = sources.join(documents, ["run_id", "provider", "path"], "left").withColumn(
-        "_source", F.concat_ws("|", "run_id", "provider", "path")
+        "_source", _source_key()
     )
     parsed = normalise_documents(
         asked.where(F.col("body").isNotNull()).select(F.col("_source").alias("run_id"), "body")
@@ -206,7 +210,7 @@ def read_routed(routed: DataFrame, documents: DataFrame) -> tuple[DataFrame, Dat
         .agg(F.min("error").alias("error"))
     )
     wanted = routed.where(F.col("error").isNull()).select(
-        F.concat_ws("|", "run_id", "provider", "path").alias("_source"), "run_id",
+        _source_key().alias("_source"), "run_id",
         F.col("event_name").alias("metric"), F.col("metric_ord").alias("_ord"),
     )
     stats = (
@@ -220,7 +224,7 @@ def read_routed(routed: DataFrame, documents: DataFrame) -> tuple[DataFrame, Dat
 
 
 def stored_statistics(runs: DataFrame, column: str = "input_data") -> DataFrame:
-    """Statistics kept as JSON text on the run; the ``inverse`` key is a flag, not a variant."""
+    """Statistics kept as JSON text on the run; the ``inverse`` key is a flag, not a variant, and null when absent."""
     doc = F.from_json(F.col(column), "struct<metrics: map<string,string>>")
     metrics = runs.where(_is_object(F.col(column))).select(
         "run_id", F.posexplode(doc["metrics"]).alias("metric_ord", "metric", "_m")
@@ -228,7 +232,7 @@ def stored_statistics(runs: DataFrame, column: str = "input_data") -> DataFrame:
     variants = F.from_json(F.when(_is_object(F.col("_m")), F.col("_m")), _VALUES)
     cells = metrics.withColumn("_map", variants).select(
         "run_id", "metric_ord", "metric",
-        F.coalesce(F.lower(F.col("_map")["inverse"]) == "true", F.lit(False)).alias("inverse"),
+        (F.lower(F.col("_map")["inverse"]) == "true").alias("inverse"),
         F.explode(F.map_entries("_map")).alias("_entry"),
     )
     v = F.from_json(F.when(_is_object(F.col("_entry.value")), F.col("_entry.value")), _VALUES)
@@ -252,7 +256,7 @@ def manual_statistics(rows: DataFrame) -> DataFrame:
     kept = rows.where((F.trim("variant") != "") & n.isNotNull() & ~F.isnan(n) & (n > 0))
     return kept.select(
         "run_id", "metric_ord", "metric", F.trim("variant").alias("variant"),
-        F.coalesce(F.col("inverse"), F.lit(False)).alias("inverse"),
+        F.col("inverse").alias("inverse"),
         n.alias("n"),
         F.when(binary, s).alias("k"),
         F.when(~binary, s).alias("sum"),
@@ -267,9 +271,7 @@ def choose_source(runs: DataFrame, live: DataFrame, customer: DataFrame, stored:
     A customer run uses customer data only. Any other run uses live data and
     falls back to what is stored on it.
     """
-    modes, _ = pin_if_small(
-        runs.select("run_id", F.coalesce("data_source_mode", F.lit("managed")).isin(*CUSTOMER_MODES).alias("_customer"))
-    )
+    modes = runs.select("run_id", F.coalesce("data_source_mode", F.lit("managed")).isin(*CUSTOMER_MODES).alias("_customer"))
     is_customer = modes.where(F.col("_customer")).select("run_id")
     managed = modes.where(~F.col("_customer")).select("run_id")
     own = customer.join(is_customer, "run_id", "left_semi").withColumn("data_source", F.lit("customer"))
@@ -288,7 +290,7 @@ def with_specs(stats: DataFrame, specs: DataFrame) -> DataFrame:
 
     Metrics take the order of the specs; ``doc_ord`` keeps the order they had in
     their source. A metric no spec mentions gets the role ``extra`` and comes
-    last. ``inverse`` holds when either the data or the definition says so.
+    last. ``inverse`` is the data's where it says so or not, else the definition's.
     """
     s = specs.select(
         "run_id", F.col("event_name").alias("metric"), F.col("metric_ord").alias("_ord"),
@@ -304,6 +306,6 @@ def with_specs(stats: DataFrame, specs: DataFrame) -> DataFrame:
         F.coalesce("_role", F.lit("extra")).alias("role"),
         F.coalesce("_type", F.when(F.col("k").isNotNull(), F.lit("binary")).otherwise(F.lit("continuous"))).alias("metric_type"),
         F.col("_agg").alias("metric_agg"),
-        (F.coalesce("inverse", F.lit(False)) | F.coalesce("_inverse", F.lit(False))).alias("inverse"),
+        F.coalesce("inverse", "_inverse", F.lit(False)).alias("inverse"),
         "variant", "n", "k", "sum", "sum_squares", "mean", "variance", *extra,
     )

@@ -22,15 +22,17 @@ def event_month(ts: Column) -> Column:
 def in_table_layout(df: DataFrame, key: str) -> DataFrame:
     """Arrange rows as the table is stored: by month, then env, key, day, user.
 
-    Range partitions cut through a month, a flag or even one user's day when
-    those are large, so no task gets a whole hot group; each task still writes
-    few months and files with narrow key ranges, which later scans can skip.
+    Adaptive execution cuts the rows of a month and key into tasks of the
+    advisory size, however many there are, and joins small ones. So no task gets
+    a whole hot group and the number of tasks follows the data; each writes few
+    months, sorted, with narrow key ranges in its files, which later scans can
+    skip. The input is computed once.
     """
     order = ["event_month", "env_id", key, "_day", "user_key", "timestamp"]
     return (
         df.withColumn("event_month", event_month(F.col("timestamp")))
         .withColumn("_day", F.to_date("timestamp"))
-        .repartitionByRange(*order)
+        .hint("rebalance", "event_month", "env_id", key)
         .sortWithinPartitions(*order)
         .drop("_day")
     )

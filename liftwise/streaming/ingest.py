@@ -28,7 +28,6 @@ def read_batches(spark: SparkSession, path: str, files_per_trigger: int = 1000)
 
 
 def _write_batch(df: DataFrame, path: str, key: str, batch: int, name: str) -> Observation:
-    # Counted behind the range exchange: its sampling pass also runs what lies before.
     rows, seen = pl.observed(in_table_layout(df, key).withColumn("ingest_batch", F.lit(batch).cast("bigint")), name)
     (
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
@@ -65,6 +64,11 @@ def start_ingest(batches: DataFrame, path: str, checkpoint: str, available_now:
     return writer.start()
 
 
+def landed_months(spark: SparkSession, landed: str) -> list[int]:
+    """Months that a landed table has, from its folders; a few numbers."""
+    return sorted(r[0] for r in spark.read.parquet(landed).select("event_month").distinct().collect())
+
+
 def publish_month(spark: SparkSession, landed: str, table: str, key: str, month: int) -> None:
     """Rewrite one month of a landed table as large, sorted files of the query table.
 

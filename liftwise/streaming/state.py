@@ -34,15 +34,14 @@ def run_versions(changes: DataFrame, path: str, checkpoint: str, available_now:
     return writer.start()
 
 
-def running_first_exposures(evals: DataFrame, lateness: str | None = None) -> DataFrame:
+def running_first_exposures(evals: DataFrame) -> DataFrame:
     """Earliest (instant, variant) per (env, flag, user) so far.
 
-    Without ``lateness`` state is kept for every user and an evaluation that
-    arrives late, yet is earlier, still corrects the result. With it state is
-    bounded, and later arrivals are ignored.
+    State is kept for every user, one small row each, and an evaluation that
+    arrives late, yet is earlier, still corrects the result. To bound the
+    state, stop the stream and start it on a new checkpoint: versions of both
+    runs merge at read.
     """
-    if lateness:
-        evals = evals.withWatermark("timestamp", lateness)
     return evals.groupBy("env_id", "flag_key", "user_key").agg(F.min(F.struct("timestamp", "variant")).alias("first"))
 
 
@@ -54,7 +53,18 @@ def read_first_exposures(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def daily_events(events: DataFrame, lateness: str = "2 days", precision: int = 12) -> DataFrame:
+def compact_first_exposures(spark: SparkSession, path: str, into: str) -> None:
+    """Write one row per (env, flag, user) of all versions at ``path`` to the new table ``into``, as version -1."""
+    merged = spark.read.parquet(path).groupBy("env_id", "flag_key", "user_key").agg(F.min("first").alias("first"))
+    merged.withColumn("batch", F.lit(-1).cast("bigint")).write.partitionBy("batch").parquet(into)
+
+
+def compact_daily_events(spark: SparkSession, path: str, into: str) -> None:
+    """Write the last version of each day's rollup to the new table ``into``, as version -1."""
+    read_daily_events(spark, path).withColumn("batch", F.lit(-1).cast("bigint")).write.partitionBy("batch").parquet(into)
+
+
+def daily_events(events: DataFrame, lateness: str = "2 days", precision: int = 14) -> DataFrame:
     """Events, sums and a user sketch per (env, event, day), updated as data arrives."""
     v = F.col("numeric_value")
     day = F.window("timestamp", "1 day").alias("day")

@@ -68,8 +68,8 @@ def expected(evals, events):
     return out
 
 
-def computed(spark, evals, events, **kw):
-    design_runs = runs(spark, RUNS)
+def computed(spark, evals, events, small=True, **kw):
+    design_runs = F.broadcast(runs(spark, RUNS)) if small else runs(spark, RUNS)
     design = at.load_design(design_runs, metric_specs(design_runs))
     df = at.variant_stats(spark.createDataFrame(evals, EVALS), spark.createDataFrame(events, EVENTS), design, **kw)
     return df, {(r.run_id, r.metric, r.variant): [r.users, r.conversions, r.sum_val, r.sum_sq] for r in df.collect()}
@@ -85,14 +85,18 @@ def test_against_brute_force(spark, seed):
         assert got[key] == pytest.approx(cell), key
 
 
-def test_large_design_is_joined_by_shuffle(spark, monkeypatch):
-    """Beyond the broadcast bound nothing is collected or hinted, and results are the same."""
+def test_large_design_is_joined_by_shuffle(spark):
+    """A design too large to broadcast gives the same results."""
     evals, events = made_up(4)
-    monkeypatch.setattr("liftwise.session.MAX_BROADCAST_ROWS", 1)
-    monkeypatch.setattr("liftwise.session.pin_if_small.__defaults__", (1,))
-    design = at.load_design(runs(spark, RUNS), metric_specs(runs(spark, RUNS)))
-    assert design.flags is None and design.events is None
-    _, got = computed(spark, evals, events)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        _, got = computed(spark, evals, events, small=False)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     want = expected(evals, events)
     assert got == {k: pytest.approx(v) for k, v in want.items()}
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from liftwise.plans.analyze import analyze, analyze_statistics
-from liftwise.session import broadcast_if_small, materialize, scratch_dir
+from liftwise.session import materialize, scratch_dir
 from liftwise.sources import payloads as pl
 from liftwise.sources import sinks, statistics, tables
 from liftwise.streaming import state
@@ -92,7 +92,7 @@ def test_manual_rows(spark):
             ("r", 0, "m", "binary", " ", "5", "3", None, None), ("r", 1, "w", "continuous", "a", "4", "", None, None)]
     df = spark.createDataFrame(rows, "run_id string, metric_ord int, metric string, metric_type string, variant string, n string, s string, ss string, inverse boolean")
     got = [(r.metric, r.variant, r.n, r.k, r["sum"], r.sum_squares, r.inverse) for r in statistics.manual_statistics(df).orderBy("metric").collect()]
-    assert got == [("m", "a", 10.0, 3.0, None, None, True), ("w", "a", 4.0, None, 0.0, 0.0, False)]
+    assert got == [("m", "a", 10.0, 3.0, None, None, True), ("w", "a", 4.0, None, 0.0, 0.0, None)]
 
 
 def test_input_data_round_trip(spark):
@@ -103,7 +103,7 @@ def test_input_data_round_trip(spark):
                                           "wait": {"a": {"n": 10.0, "sum": 3.5, "sum_squares": 9.0}}}
     back = statistics.stored_statistics(sinks.input_data_json(s)).orderBy("metric_ord", "variant").collect()
     assert [(r.metric, r.variant, r.inverse, r.n, r.k, r["sum"]) for r in back] == [
-        ('buy "now"', "a", True, 10, 3, None), ('buy "now"', "b", True, 11, 4, None), ("wait", "a", False, 10, None, 3.5)]
+        ('buy "now"', "a", True, 10, 3, None), ('buy "now"', "b", True, 11, 4, None), ("wait", "a", None, 10, None, 3.5)]
 
 
 def test_results_replace_earlier_ones(spark, tmp_path):
@@ -133,7 +133,7 @@ def test_analyze_stored_runs_with_renamed_variants(spark):
     assert doc["control"] == "Blue" and doc["treatments"] == ["Red"] and doc["primary_metric"]["rows"][1]["p_win"] > 0.99
     assert doc["warnings"] == ["frequentist runs are analysed as bayesian_ab"]
     doc = json.loads(got["partly"].analysis_result)
-    assert "primary_metric" not in doc and doc["warnings"][0].startswith("Variant key mismatch: expected [Grey, Red] but metric data has [Blue, Red].")
+    assert "primary_metric" not in doc and doc["warnings"][0].startswith("The run is set up for [Grey, Red], its data holds [Blue, Red].")
 
 
 def test_late_exposure_corrects_the_first(spark, tmp_path):
@@ -161,7 +161,45 @@ def test_scratch_follows_the_session(spark):
     assert kept.count() == 5 and kept.columns == ["id", "v"]
 
 
-def test_broadcast_is_checked(spark):
-    small, large = broadcast_if_small(spark.range(10), 10), broadcast_if_small(spark.range(11), 10)
-    assert "ResolvedHint" in small._jdf.queryExecution().logical().toString() or "hint" in small._jdf.queryExecution().logical().toString().lower()
-    assert "hint" not in large._jdf.queryExecution().logical().toString().lower()
+def test_bodies_of_wrong_types_and_times_are_quarantined(spark):
+    good = '[{"user": {"keyId": "u"}, "variations": [{"flagKey": "f", "variant": "a", "timestamp": 1704067200000}], "metrics": []}]'
+    bad = {
+        '[{"variations": "oops"}]': "Invalid JSON body", '[{"metrics": {"eventName": "e"}}]': "Invalid JSON body",
+        '[{"user": [1]}]': "Invalid JSON body", '[{"variations": [1]}]': "Invalid JSON body",
+        '[{"metrics": [{"eventName": "e", "timestamp": 9000000000000000000}]}]': "Timestamp out of range",
+        '[{"variations": [{"flagKey": "f", "timestamp": -90000000000000000}]}]': "Timestamp out of range",
+    }
+    decoded = pl.decode_payloads(spark.createDataFrame([("e", b) for b in [good, *bad]], "env_id string, body string"))
+    assert {r.body: r.error for r in decoded.collect()} == {good: None, **bad}
+    assert [r.user_key for r in pl.flag_evaluations(decoded).collect()] == ["u"] and not pl.metric_events(decoded).collect()
+    plan = pl.flag_evaluations(decoded)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(env") == 0 and plan.count("from_json") <= 4
+
+
+def test_sources_of_runs_stay_apart(spark):
+    body = '{"schemaVersion": 1, "experimentId": "x", "metrics": {}}'
+    routed = spark.createDataFrame([("a", 0, "m", "b|c", "p", None), ("a|b", 0, "m", "c", "p", None)], "run_id string, metric_ord int, event_name string, provider string, path string, error string")
+    documents = spark.createDataFrame([("b|c", "p", "a", body)], "provider string, path string, run_id string, body string")
+    _, failures = statistics.read_routed(routed, documents)
+    assert "a|b" in {r.run_id for r in failures.collect()}
+
+
+def test_explicit_inverse_wins(spark):
+    from liftwise.operators.normalize import metric_specs
+    docs = [("r", '{"metrics": {"m": {"inverse": false, "a": {"n": 1, "k": 1}}, "g": {"a": {"n": 1, "k": 1}}}}')]
+    stored = statistics.stored_statistics(spark.createDataFrame(docs, "run_id string, input_data string"))
+    specs = metric_specs(runs(spark, [{"run_id": "r", "primary_metric_event": "p", "guardrail_events": '[{"event": "m", "inverse": true}, {"event": "g", "inverse": true}]'}]))
+    assert {r.metric: r.inverse for r in statistics.with_specs(stored, specs).collect()} == {"m": False, "g": True}
+
+
+def test_primary_that_is_also_guardrail(spark):
+    from liftwise.operators.normalize import metric_specs
+    row = {"run_id": "r", "primary_metric_event": "m", "guardrail_events": '["g", {"event": "m", "metricType": "continuous", "metricAgg": "sum", "inverse": true}]'}
+    got = [(r.role, r.event_name, r.metric_type, r.inverse) for r in metric_specs(runs(spark, [row])).orderBy("metric_ord").collect()]
+    assert got == [("primary", "m", "continuous", True), ("guardrail", "g", "binary", False)]
+
+
+def test_repeated_arms_are_one(spark):
+    from liftwise.operators.normalize import run_violations
+    row = runs(spark, [{"run_id": "r", "control_variant": "c", "treatment_variant": "t, t,c , u"}])
+    assert row.first().treatments == ["t", "u"] and run_violations(row).first().violations

@@ -405,8 +405,8 @@ def c6(spark, d):
 @query("c7_variant_mismatch", W + """,
 x AS (SELECT run_id, nk, string_agg(arm, ', ' ORDER BY idx) AS expected, string_agg(CASE WHEN nk % 3 = 0 THEN 'value ' || arm ELSE arm END, ', ' ORDER BY idx)
  FILTER (nk % 3 = 0 OR idx > 0) AS others FROM arms WHERE nk % 3 < 2 GROUP BY ALL)
-SELECT run_id, 'Variant key mismatch: expected [' || expected || '] but metric data has [' || others || CASE WHEN nk % 3 = 1 THEN ', zero' ELSE '' END ||
- ']. Update the run''s control/treatment variant settings to match the actual variation values.' AS warning FROM x""")
+SELECT run_id, 'The run is set up for [' || expected || '], its data holds [' || others || CASE WHEN nk % 3 = 1 THEN ', zero' ELSE '' END ||
+ ']. Set the run''s variants to those of its data.' AS warning FROM x""")
 def c7(spark, d):
     return variants.variant_mismatches(_renamed(spark, d), fx.runs(spark, d)).select("run_id", "warning")
 

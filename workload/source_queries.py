@@ -253,7 +253,7 @@ SELECT run_id, metric_ord, metric, inverse, variant, users::DOUBLE AS n, CASE WH
  CASE WHEN metric_type <> 'binary' THEN {r('sum_val', 4)} END AS "sum", CASE WHEN metric_type <> 'binary' THEN {r('sum_sq', -2)} END AS sum_squares FROM vs""")
 def a13(spark, d):
     s = statistics.stored_statistics(sinks.input_data_json(live_stats(spark, d)))
-    return s.select("run_id", "metric_ord", "metric", "inverse", "variant", "n", "k", rnd("sum", 4), rnd("sum_squares", -2))
+    return s.select("run_id", "metric_ord", "metric", F.coalesce("inverse", F.lit(False)).alias("inverse"), "variant", "n", "k", rnd("sum", 4), rnd("sum_squares", -2))
 
 
 @query("a14_manual_rows", """
@@ -278,7 +278,7 @@ def a14(spark, d):
         F.when(key % 10 == 0, F.lit(True)).alias("inverse"),
     )
     s = statistics.manual_statistics(rows)
-    return s.select("run_id", "metric", "variant", "n", "k", "sum", "sum_squares", "inverse")
+    return s.select("run_id", "metric", "variant", "n", "k", "sum", "sum_squares", F.coalesce("inverse", F.lit(False)).alias("inverse"))
 
 
 @query("a15_source_precedence", W + """

@@ -11,13 +11,10 @@ from workload.catalog import query, r, rnd, stamp
 from workload.source_queries import EV, payload_batches
 
 W = "WITH " + fx.CTE
-WAIT = 600
 
 
 def _finish(q):
-    if not q.awaitTermination(WAIT):
-        q.stop()
-        raise TimeoutError("stream did not finish")
+    q.awaitTermination()
     return q
 
 
@@ -61,7 +58,8 @@ def j2_published(spark, d):
     path = scratch_dir(spark, "publish")
     ingest.write_batch(payload_batches(spark, d).select("env_id", "body"), 1, path)
     for _ in range(2):
-        ingest.publish_month(spark, f"{path}/metric_events", f"{path}/table", tables.EVENT_KEY, 202401)
+        for month in ingest.landed_months(spark, f"{path}/metric_events"):
+            ingest.publish_month(spark, f"{path}/metric_events", f"{path}/table", tables.EVENT_KEY, month)
     return spark.read.parquet(f"{path}/table").groupBy("event_month").agg(F.count("*").alias("row_count"))
 
 
@@ -80,7 +78,8 @@ FROM (SELECT env_id, flag_key, user_key, min({'ts': ts, 'variant': variant}) AS
 def j4(spark, d):
     path, stream = _landed(spark, d, fx.evaluations(spark, d), "exposures")
     _finish(state.run_versions(state.running_first_exposures(stream), f"{path}/out", f"{path}/check"))
-    fe = state.read_first_exposures(spark, f"{path}/out")
+    state.compact_first_exposures(spark, f"{path}/out", f"{path}/compact")
+    fe = state.read_first_exposures(spark, f"{path}/compact")
     return fe.select("env_id", "flag_key", "user_key", "variant", stamp("exposure_ts"))
 
 
@@ -89,7 +88,8 @@ SELECT env_id, event_name, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) A
 def j5(spark, d):
     path, stream = _landed(spark, d, fx.metric_events(spark, d), "rollup")
     _finish(state.run_versions(state.daily_events(stream, "4000 days"), f"{path}/out", f"{path}/check"))
-    e = state.read_daily_events(spark, f"{path}/out")
+    state.compact_daily_events(spark, f"{path}/out", f"{path}/compact")
+    e = state.read_daily_events(spark, f"{path}/compact")
     return e.select("env_id", "event_name", F.col("date").cast("string").alias("date"), "events", rnd("value_sum", 3))
 
 
