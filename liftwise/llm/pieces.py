@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from liftwise.llm.textblocks import Block, blocks, byte_table, hash_spans, mix
 
 _EVERY = byte_table(b"", 401, fold=False)
-_BLOCK = 4_000_000
+_BLOCK = 500_000
 #: Log-weight of one byte of a character that no piece covers.
 BYTE_WEIGHT = -12.0
 
@@ -169,7 +169,7 @@ def _units(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _uniform(seed: np.ndarray, unit: np.ndarray, step: int) -> np.ndarray:
-    x = mix(seed + unit.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step + 1) * np.uint64(0xD1B54A32D192ED03))
+    x = mix(seed + unit.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.full(1, step + 1, np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftwise.llm import oracles
 from liftwise.llm.decontaminate import find_leaks
 from liftwise.llm.language import held_out, identify_languages, train_languages
 from liftwise.llm.license_scan import scan_licenses
@@ -42,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op5_ngram_jaccard_join")
+@query("op5_ngram_jaccard_join", oracles.NEAR_TEXT)
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text_components(table(spark, sf_dir, "documents"))
 
@@ -65,7 +66,7 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(docs, SURROGATE_KEY, count_col="n_entities")
 
 
-@query("op1_license_scan")
+@query("op1_license_scan", oracles.LICENSES)
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -82,9 +83,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
 
-@query("op4_sharding")
+SLOTS = 4_099
+
+
+@query("op4_sharding", oracles.sharding(SHARDS, SLOTS))
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(table(spark, sf_dir, "documents"), "doc_id", SHARDS, 4_099)
+    return place(table(spark, sf_dir, "documents"), "doc_id", SHARDS, SLOTS)
 
 
 def piece_model() -> str:
