@@ -31,11 +31,12 @@ class ProductCode:
         for size in (self.cut, dim - self.cut):
             points = rng.standard_normal((codes if size else 1, size))
             self.halves.append(points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12))
-        probes = rng.standard_normal((256, dim))
+        probes = rng.standard_normal((48, dim))
         one, two = self._scores(probes / np.linalg.norm(probes, axis=1, keepdims=True))
-        total = (one[:, :, None] + two[:, None, :]).reshape(-1)
+        total = (one.astype(np.float32)[:, :, None] + two.astype(np.float32)[:, None, :]).reshape(-1)
         listed = min(int(listed * len(probes)), len(total))
-        self.least = float(np.partition(total, len(total) - listed)[len(total) - listed])
+        total.partition(len(total) - listed)
+        self.least = float(total[len(total) - listed])
 
     def _scores(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         turned = unit @ self.rotation
@@ -67,8 +68,8 @@ def _listed(codes: int, listed: float):
                 which = np.flatnonzero(dims == dim)
                 code = known.setdefault(int(dim), None) or ProductCode(int(dim), codes, listed)
                 known[int(dim)] = code
-                for a in range(0, len(which), 256):
-                    part = which[a : a + 256]
+                for a in range(0, len(which), 32):
+                    part = which[a : a + 32]
                     row, cap = code.decode(_unit(flat[offsets[part][:, None] + np.arange(dim)]))
                     ids = pa.array(part[row])
                     yield pa.RecordBatch.from_arrays([batch.column("rid").take(ids), pa.array(cap)], ["rid", "cap"])
