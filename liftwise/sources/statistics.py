@@ -39,8 +39,9 @@ def _is_object(text: Column) -> Column:
 
 
 def _quoted(parent: Column, field: str) -> Column:
-    """Whether a top-level field of a flat JSON object is written as a string."""
-    return F.coalesce(parent.rlike(f'"{field}"\\s*:\\s*"'), F.lit(False))
+    """Whether a top-level field of a JSON object is written as a string; fields of the same name deeper inside don't count."""
+    value = F.try_variant_get(F.try_parse_json(parent), f"$.{field}", "variant")
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
 def _number(values: Column, raw: Column, field: str) -> Column:
