@@ -2,7 +2,7 @@ import re
 
 from liftwise.llm.decontaminate import NUMBER_WORDS, UNIT_WORDS, find_leaks, without_leaks
 
-DATA = "/root/testdata/sf0.1"
+DATA = "/root/testdata/sf0.01"
 ITEM = "In the morning Anna Smith bought 12 red apples for 3 dollars each at the market, and later Anna Smith gave 12 of these to Peter near the old station."
 
 
@@ -61,12 +61,12 @@ def test_documents_match_brute_force(spark):
     got = {r.doc_id: r["items"] for r in find_leaks(docs, bench).collect()}
     items = [(r.item_id, r.text) for r in bench.collect()]
     heads = {i: set(re.findall(r"[a-z]{9,}", t.lower())) for i, t in items}
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").where("doc_id % 10 = 0").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     for key, text in rows:
         have = set(re.findall(r"[a-z]{9,}", text.lower()))
         near = [(i, t) for i, t in items if not heads[i] or len(heads[i] & have) * 2 >= len(heads[i])]
         assert got[key] == brute_items(text, near)
-    assert len(got) == docs.count() and sum(bool(v) for v in got.values()) > 200
+    assert len(got) == docs.count() and sum(bool(v) for v in got.values()) > 15
 
 
 def test_reparameterised_question(spark):

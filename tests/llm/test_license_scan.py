@@ -5,7 +5,7 @@ import pytest
 from liftwise.llm.license_scan import PHRASES, REACH, STRIDE, TEMPLATES, scan_licenses
 from tests.llm.brute import LOWER
 
-DATA = "/root/testdata/sf0.1"
+DATA = "/root/testdata/sf0.01"
 
 
 def brute(text):
@@ -42,7 +42,7 @@ def test_documents_match_brute_force(spark):
     for key, row in rows:
         assert row == brute(texts[key])
         hits += bool(row[4])
-    assert hits > 200
+    assert hits >= 20
 
 
 def test_edge_rows(spark):

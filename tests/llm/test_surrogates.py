@@ -2,7 +2,7 @@ import regex
 
 from liftwise.llm.surrogates import PATTERN, assign_surrogates, replace_entities
 
-DATA = "/root/testdata/sf0.1"
+DATA = "/root/testdata/sf0.01"
 FOUND = regex.compile(PATTERN)
 
 
@@ -26,7 +26,7 @@ def test_documents(spark):
         assert FOUND.split(out) == rest and len(again) == len(values)
         pairs |= set(zip(values, again))
     forward, back = dict(pairs), {b: a for a, b in pairs}
-    assert len(pairs) > 300 and len(forward) == len(pairs) == len(back)
+    assert len(pairs) > 30 and len(forward) == len(pairs) == len(back)
     assert not set(forward) & set(back)
     for a, b in pairs:
         if "@" in a:
