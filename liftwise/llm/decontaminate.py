@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,69 +91,146 @@ def template(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return token, value, kind, text
 
 
-def _windows(token: np.ndarray, kind: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each window of one text that has enough literal tokens."""
+#: Letters of scripts without blanks between words (Thai to Lao, Myanmar, Khmer and Tai, kana, Han and Yi).
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31BF),
+    (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+
+
+@cache
+def _code_points() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 0 between words, 1 inside one, 2 a word of its own; and its value in hashes, that of its lower case."""
+    sort, lower = np.zeros(0x110000, np.int8), np.arange(0x110000)
+    for c in range(0x40000):
+        sort[c] = unicodedata.category(chr(c))[0] in "LMN"
+        low = next((x for x in (chr(c).casefold(), chr(c).lower()) if len(x) == 1), chr(c))
+        lower[c] = ord(low)
+    for first, last in _UNSPACED:
+        sort[first : last + 1] *= 2
+    return sort, seeds(0x110000, 103)[lower]
+
+
+def plain_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased words of a block as they stand: hash, and the text each is of. In scripts without blanks each letter is one."""
+    data, n = block.data, len(block.data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    head = (data & 0xC0) != 0x80
+    head[block.offsets[:-1][block.offsets[:-1] < n]] = True
+    at = np.flatnonzero(head)
+    point = data[at].astype(np.int32)
+    for least, drop, more in ((0xC0, 0xC0, 1), (0xE0, 0xE0, 2), (0xF0, 0xF0, 3)):
+        wide = np.flatnonzero((data[at] >= least) & (data[at] < (0xE0, 0xF0, 0x100)[more - 1]))
+        value = data[at[wide]].astype(np.int32) - drop
+        for k in range(1, more + 1):
+            value = (value << 6) | (data[np.minimum(at[wide] + k, n - 1)] & 0x3F)
+        point[wide] = np.minimum(value, 0x10FFFF)
+    sorts, table = _code_points()
+    sort = sorts[point]
+    if len(point) > 2:
+        digit = (point >= 48) & (point <= 57)
+        sort[1:-1][((point[1:-1] == 46) | (point[1:-1] == 44)) & digit[:-2] & digit[2:]] = 1
+    offsets = np.searchsorted(at, block.offsets)
+    edge = np.zeros(len(point) + 1, bool)
+    edge[offsets] = True
+    before, after = np.concatenate(([0], sort[:-1])), np.concatenate((sort[1:], [0]))
+    starts = np.flatnonzero((sort == 2) | ((sort == 1) & (edge[:-1] | (before != 1))))
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    ends = np.flatnonzero((sort == 2) | ((sort == 1) & (edge[1:] | (after != 1)))) + 1
+    return hash_spans(point, starts, ends, table), np.searchsorted(offsets, starts, side="right") - 1
+
+
+def _windows(token: np.ndarray, text: np.ndarray, length: int, salt: int, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each window of one text; with ``kind``, of those that have enough literal tokens."""
     ends = len(token) - length + 1
-    if ends <= 0:
+    if ends <= 0 or not length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    literal = np.concatenate(([0], np.cumsum(kind == _LITERAL)))
-    starts = np.flatnonzero((text[:ends] == text[length - 1 :]) & (literal[length:] - literal[:-length] >= LEAST_LITERALS))
+    fit = text[:ends] == text[length - 1 :]
+    if kind is not None:
+        literal = np.concatenate(([0], np.cumsum(kind == _LITERAL)))
+        fit &= literal[length:] - literal[:-length] >= LEAST_LITERALS
+    starts = np.flatnonzero(fit)
     total = np.zeros(len(starts), np.uint64)
-    for k, factor in enumerate(seeds(length, 307 + length)):
+    for k, factor in enumerate(seeds(length, salt + length)):
         total += token[starts + k] * factor
     return starts, mix(total)
 
 
+_TEMPLATE_SALT, _EXACT_SALT = 307, 30_011
+
+
 def _slots(value: np.ndarray, kind: np.ndarray, start: int, length: int) -> list[int]:
     part = slice(start, start + length)
     return value[part][kind[part] != _LITERAL].view(np.int64).tolist()
 
 
 def _item_rows(window: int):
-    """Arrow task: (item, key, text) to the distinct windows of every item, the first of equal ones."""
+    """Arrow task: (item, key, text) to the distinct windows of every item, template and exact ones, the first of equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 token, value, kind, text = template(block)
-                ends = np.searchsorted(text, np.arange(block.rows + 1))
-                out = {"row": [], "ipos": [], "length": [], "hash": [], "islots": [], "need": []}
+                plain, of = plain_words(block)
+                ends, plain_ends = np.searchsorted(text, np.arange(block.rows + 1)), np.searchsorted(of, np.arange(block.rows + 1))
+                out = {"row": [], "exact": [], "ipos": [], "length": [], "hash": [], "islots": [], "need": []}
                 for i in range(block.rows):
-                    length = min(window, int(ends[i + 1] - ends[i]))
-                    part = slice(ends[i], ends[i + 1])
-                    starts, hashes = _windows(token[part], kind[part], text[part], length)
-                    hashes, first = np.unique(hashes, return_index=True)
-                    for h, s in zip(hashes.view(np.int64).tolist(), starts[first].tolist()):
-                        row = (i, s, length, h, _slots(value[part], kind[part], s, length), min(LEAST_WINDOWS, len(hashes)))
-                        for column, x in zip(out.values(), row):
-                            column.append(x)
+                    part, own = slice(ends[i], ends[i + 1]), slice(plain_ends[i], plain_ends[i + 1])
+                    for exact, size in ((False, ends[i + 1] - ends[i]), (True, plain_ends[i + 1] - plain_ends[i])):
+                        length = min(window, int(size))
+                        if exact:
+                            starts, hashes = _windows(plain[own], of[own], length, _EXACT_SALT)
+                        else:
+                            starts, hashes = _windows(token[part], text[part], length, _TEMPLATE_SALT, kind[part])
+                        hashes, first = np.unique(hashes, return_index=True)
+                        for h, s in zip(hashes.view(np.int64).tolist(), starts[first].tolist()):
+                            slots = [] if exact else _slots(value[part], kind[part], s, length)
+                            row = (i, exact, s, length, h, slots, min(LEAST_WINDOWS, len(hashes)))
+                            for column, x in zip(out.values(), row):
+                                column.append(x)
                 rows = pa.array(out["row"], pa.int64())
                 own = batch.slice(block.first, block.rows)
-                kinds = {"ipos": pa.int32(), "length": pa.int32(), "hash": pa.int64(), "islots": pa.list_(pa.int64()), "need": pa.int32()}
+                kinds = {"exact": pa.bool_(), "ipos": pa.int32(), "length": pa.int32(), "hash": pa.int64(), "islots": pa.list_(pa.int64()), "need": pa.int32()}
                 columns = [own.column("item").take(rows), own.column("key").take(rows), *[pa.array(out[c], t) for c, t in kinds.items()]]
                 yield pa.RecordBatch.from_arrays(columns, ["item", "key", *kinds])
 
     return run
 
 
-def _document_rows(lengths: list[int], buckets: np.ndarray):
-    """Arrow task: (h1, h2, text) to the windows whose bucket some item has."""
+def _document_rows(lengths: list[tuple[bool, int]], buckets: np.ndarray):
+    """Arrow task: (h1, h2, text) to the windows whose bucket some item has; an exact one once per text, at no place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(buckets).astype(bool)
+
+        def kept(starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keep = wanted[hashes >> np.uint64(64 - FILTER_BITS)]
+            return starts[keep], hashes[keep]
+
+        def rows_of(batch: pa.RecordBatch, own: np.ndarray, place: np.ndarray, hashes: np.ndarray, slots: list[list[int]]) -> pa.RecordBatch:
+            rows = pa.array(own)
+            columns = [batch.column("h1").take(rows), batch.column("h2").take(rows), pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(slots, pa.list_(pa.int64()))], ["h1", "h2", "dpos", "hash", "dslots"])
+
         for batch in batches:
             for block in blocks(batch.column("text")):
                 token, value, kind, text = template(block)
-                for length in lengths:
-                    starts, hashes = _windows(token, kind, text, length)
-                    keep = wanted[hashes >> np.uint64(64 - FILTER_BITS)]
-                    starts, hashes = starts[keep], hashes[keep]
+                for length in [n for exact, n in lengths if not exact]:
+                    starts, hashes = kept(*_windows(token, text, length, _TEMPLATE_SALT, kind))
                     own = text[starts]
-                    place = starts - np.searchsorted(text, own)
-                    rows = pa.array(own + block.first)
-                    slots = pa.array([_slots(value, kind, s, length) for s in starts.tolist()], pa.list_(pa.int64()))
-                    columns = [batch.column("h1").take(rows), batch.column("h2").take(rows), pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64)), slots]
-                    yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "dpos", "hash", "dslots"])
+                    slots = [_slots(value, kind, s, length) for s in starts.tolist()]
+                    yield rows_of(batch, own + block.first, starts - np.searchsorted(text, own), hashes, slots)
+                plain, text = plain_words(block)
+                for length in [n for exact, n in lengths if exact]:
+                    starts, hashes = kept(*_windows(plain, text, length, _EXACT_SALT))
+                    order = np.lexsort((hashes, text[starts]))
+                    own, hashes = text[starts][order], hashes[order]
+                    new = np.ones(len(own), bool)
+                    new[1:] = (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1])
+                    own, hashes = own[new], hashes[new]
+                    yield rows_of(batch, own + block.first, np.zeros(len(own)), hashes, [[]] * len(own))
 
     return run
 
@@ -168,19 +247,22 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text_col: str = "text",
     with ``LEAST_LITERALS`` literal ones, are joined by hash; an item shorter
     than a window is one window. Windows that stand in one alignment (document
     place minus item place) must map slot values one to one, else the whole
-    alignment is coincidence. A text gives an item away with ``LEAST_WINDOWS``
-    of its distinct windows, or all if it has fewer.
+    alignment is coincidence. Beside them, windows of ``window`` lower-cased
+    words with all values kept (of letters, in scripts without blanks) are
+    joined for items of every length, dense in slots or not. A text gives an
+    item away with ``LEAST_WINDOWS`` of its distinct windows of one of the two
+    sorts, or all of that sort if it has fewer.
 
     The filter sent to tasks has 2 ** FILTER_BITS bits at any number of items;
-    what passes it is joined by shuffle. Items with fewer literal tokens than
-    ``LEAST_LITERALS`` can't be found. Null or empty texts match nothing.
+    what passes it is joined by shuffle. Null texts, and texts without a letter
+    or digit, match nothing.
     """
     spark = docs.sparkSession
     source = items.select(F.col(item_id).alias("item"), F.xxhash64(item_text).alias("key"), F.col(item_text).alias("text"))
     kind = items.schema[item_id].dataType.simpleString()
-    known = source.mapInArrow(_item_rows(window), f"item {kind}, key long, ipos int, length int, hash long, islots array<long>, need int")
-    known = materialize(known.dropDuplicates(["item", "key", "ipos"]), "item-windows")
-    lengths = sorted(r["length"] for r in known.select("length").distinct().collect())
+    known = source.mapInArrow(_item_rows(window), f"item {kind}, key long, exact boolean, ipos int, length int, hash long, islots array<long>, need int")
+    known = materialize(known.dropDuplicates(["item", "key", "exact", "ipos"]), "item-windows")
+    lengths = sorted((r["exact"], r["length"]) for r in known.select("exact", "length").distinct().collect())
     if not lengths:
         return spark.createDataFrame([], f"h1 long, h2 long, item {kind}, n_windows long")
     buckets = np.zeros(1 << FILTER_BITS, bool)
@@ -189,8 +271,9 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text_col: str = "text",
     h1, h2 = text_key(F.col(text_col))
     texts = docs.select(h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
     seen = texts.mapInArrow(_document_rows(lengths, np.packbits(buckets)), "h1 long, h2 long, dpos int, hash long, dslots array<long>")
-    met = seen.join(known.select("item", "key", "ipos", "hash", "islots", "need"), "hash")
-    met = met.withColumn("shift", F.col("dpos") - F.col("ipos")).dropDuplicates(["h1", "h2", "item", "key", "ipos", "shift"])
+    met = seen.join(known.select("item", "key", "exact", "ipos", "hash", "islots", "need"), "hash")
+    met = met.withColumn("shift", F.when(~F.col("exact"), F.col("dpos") - F.col("ipos")))
+    met = met.dropDuplicates(["h1", "h2", "item", "key", "exact", "ipos", "shift"])
     met = materialize(met.drop("hash", "dpos"), "window-matches")
 
     where = ["h1", "h2", "item", "key", "shift"]
@@ -200,7 +283,7 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text_col: str = "text",
     crossed = one.where("a <> b").select(where).unionAll(two.where("a <> b").select(where)).distinct()
     same = [met[c].eqNullSafe(crossed[c]) for c in where]
     sound = met.join(crossed, same, "left_anti")
-    counts = sound.groupBy("h1", "h2", "item", "key", "need").agg(F.countDistinct("ipos").alias("n_windows"))
+    counts = sound.groupBy("h1", "h2", "item", "key", "exact", "need").agg(F.countDistinct("ipos").alias("n_windows"))
     return counts.where("n_windows >= need").groupBy("h1", "h2", "item").agg(F.max("n_windows").alias("n_windows"))
 
 

@@ -87,3 +87,27 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert [tuple(r) for r in find_leaks(docs, bench.limit(0)).collect()] == [(1, False, 0, [])]
     assert find_leaks(docs.limit(0), bench).count() == 0 and without_leaks(docs, bench).count() == 0
+
+
+def test_word_for_word_copies(spark):
+    items = [
+        (1, "Compute 12 + 7 * 3 - 45 / 9"),
+        (2, "一个农夫有十七只羊除了九只以外都死了还剩几只羊"),
+        (3, "Birds of this kind build their nests near water"),
+        (4, "ÜBER 5 kg Öl und 3 l Milch, 7 Uhr"),
+        (5, "?!"),
+    ]
+    docs = [
+        (1, "He said: please compute 12 + 7 * 3 - 45 / 9 now"),
+        (2, "题目：一个农夫有十七只羊，除了九只以外都死了。还剩几只羊？"),
+        (3, "We know that Birds of this kind build their nests near water, or so"),
+        (4, "da sind über 5 kg öl und 3 l milch, 7 uhr."),
+        (5, "He said: please compute 12 + 7 * 3 - 46 / 9 now ?!"),
+        (6, "一个农夫有羊 compute 12 7"),
+        (7, "compute 12 + 7 * 3 -"),
+        (8, "45 / 9 compute 12"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in find_leaks(df, bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [], 7: [], 8: []}
