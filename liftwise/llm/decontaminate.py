@@ -245,9 +245,10 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
     Items and texts become templates. Windows of ``window`` canonical tokens,
     with ``LEAST_LITERALS`` literal ones, are joined by hash; an item shorter
-    than a window is one window. Windows that stand in one alignment (document
-    place minus item place) must map slot values one to one, else the whole
-    alignment is coincidence. Beside them, windows of ``window`` lower-cased
+    than a window is one window. Windows with the item's own slot values count
+    as they are. Of the others that stand in one alignment (document place minus
+    item place), those with an item value that has several document values
+    there are coincidence. Beside them, windows of ``window`` lower-cased
     words with all values kept (of letters, in scripts without blanks) are
     joined for items of every length, dense in slots or not. A text gives an
     item away with ``LEAST_WINDOWS`` of its distinct windows of one of the two
@@ -276,13 +277,16 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text_col: str = "text",
     met = met.dropDuplicates(["h1", "h2", "item", "key", "exact", "ipos", "shift"])
     met = materialize(met.drop("hash", "dpos"), "window-matches")
 
+    # a window whose values are the item's own needs no mapping; among the others, one item value has one document value
+    met = met.withColumn("verbatim", F.col("islots") == F.col("dslots"))
     where = ["h1", "h2", "item", "key", "shift"]
-    slots = met.select(*where, F.explode(F.arrays_zip("islots", "dslots")).alias("s")).select(*where, "s.islots", "s.dslots").distinct()
-    one = slots.groupBy(*where, "islots").agg(F.min("dslots").alias("a"), F.max("dslots").alias("b"))
-    two = slots.groupBy(*where, "dslots").agg(F.min("islots").alias("a"), F.max("islots").alias("b"))
-    crossed = one.where("a <> b").select(where).unionAll(two.where("a <> b").select(where)).distinct()
-    same = [met[c].eqNullSafe(crossed[c]) for c in where]
-    sound = met.join(crossed, same, "left_anti")
+    other = met.where("not verbatim")
+    slots = other.select(*where, "ipos", F.explode(F.arrays_zip("islots", "dslots")).alias("s")).select(*where, "ipos", F.col("s.islots").alias("own"), F.col("s.dslots").alias("new"))
+    crossed = slots.groupBy(*where, "own").agg(F.min("new").alias("a"), F.max("new").alias("b")).where("a <> b")
+    crossed = crossed.select(*[F.col(c).alias(f"x_{c}") for c in (*where, "own")])
+    dropped = slots.join(crossed, [slots[c].eqNullSafe(crossed[f"x_{c}"]) for c in (*where, "own")], "left_semi")
+    dropped = dropped.select(*[F.col(c).alias(f"x_{c}") for c in (*where, "ipos")]).distinct()
+    sound = other.join(dropped, [other[c].eqNullSafe(dropped[f"x_{c}"]) for c in (*where, "ipos")], "left_anti").unionAll(met.where("verbatim"))
     counts = sound.groupBy("h1", "h2", "item", "key", "exact", "need").agg(F.countDistinct("ipos").alias("n_windows"))
     return counts.where("n_windows >= need").groupBy("h1", "h2", "item").agg(F.max("n_windows").alias("n_windows"))
 

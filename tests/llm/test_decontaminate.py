@@ -111,3 +111,20 @@ def test_word_for_word_copies(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: r["items"] for r in find_leaks(df, bench).collect()}
     assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [], 7: [], 8: []}
+
+
+def test_contradicting_slots_drop_their_windows_only(spark):
+    said = ["the old miller sold", "ground the flour for", "carried it along the river to", "came back with the cart for", "rested near the bridge before"]
+    long = " ".join(f"then Anna {s} 12 sacks while the rain fell" for s in said)
+    words = ITEM.replace("12", "5").replace("for 3 dollars", "for 5 euros").replace("Anna Smith", "Maria").replace("Peter", "Ivan")
+    twice = "We know that the farmer has 3 brown cows and that the miller has 3 white goats behind the barn today"
+    docs = [
+        (1, "x " + long[::-1].replace("21", "31", 1)[::-1] + " y"),
+        (2, "x " + words + " y"),
+        (3, twice.replace("3 brown", "5 brown").replace("3 white", "7 white")),
+        (4, twice.replace("3 brown", "5 brown").replace("3 white", "5 white")),
+        (5, "We know that the farmer has 3 brown cows"),
+    ]
+    bench = spark.createDataFrame([(1, long), (2, ITEM), (3, twice)], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got[1] == [1] and got[2] == [2] and got[4] == [3] and got[5] == []
