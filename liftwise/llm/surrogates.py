@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,17 @@ _ENDINGS = {
     ("greek", "m"): "ς νης ρος", ("greek", "f"): "α νη ρα", ("greek", "u"): "ι ω", ("greek", "s"): "κος δης πουλ",
 }
 _ACCENTED = "àáâäçèéêëíîïñóôöùúûüß"
+# Code points that surrogate letters of other scripts are drawn from, and zeros of digits, by script.
+_LETTERS = {
+    "Cyrillic": (0x430, 0x44F), "Greek": (0x3B1, 0x3C9), "Armenian": (0x561, 0x586), "Hebrew": (0x5D0, 0x5EA), "Arabic": (0x627, 0x64A),
+    "Devanagari": (0x905, 0x939), "Bengali": (0x985, 0x9B9), "Gurmukhi": (0xA05, 0xA39), "Gujarati": (0xA85, 0xAB9), "Tamil": (0xB85, 0xBB9),
+    "Telugu": (0xC05, 0xC39), "Kannada": (0xC85, 0xCB9), "Malayalam": (0xD05, 0xD39), "Sinhala": (0xD85, 0xDC6), "Thai": (0xE01, 0xE2E),
+    "Lao": (0xE81, 0xEAE), "Myanmar": (0x1000, 0x102A), "Georgian": (0x10D0, 0x10F0), "Ethiopic": (0x1200, 0x135A), "Khmer": (0x1780, 0x17B3),
+    "Hiragana": (0x3042, 0x3093), "Katakana": (0x30A2, 0x30F3), "Han": (0x4E00, 0x55FF), "Hangul": (0xAC00, 0xB3FF),
+}
+_ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xE50, 0xFF10)
+#: A unit's room widens each time it has drawn so often in vain.
+_DRAWS = 4
 
 
 def _list(words: str) -> Column:
@@ -104,40 +117,61 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda a, b: a + b) % 10
 
 
+def _drawn_from() -> list[tuple[str, str]]:
+    """Pattern of the letters of a script, or its digits, and what their surrogates are drawn from."""
+    letters = {script: "".join(x for x in map(chr, range(low, high + 1)) if unicodedata.category(x) in ("Ll", "Lo") and x != "ς") for script, (low, high) in _LETTERS.items()}
+    digits = ["".join(chr(zero + k) for k in range(10)) for zero in _ZEROS]
+    return [(rf"[\p{{Is{script}}}&&\p{{L}}]", text) for script, text in letters.items()] + [(f"[{text}]", text) for text in digits]
+
+
 def _core(key: str) -> Column:
     """Surrogate of a unit, from its kind, canonical form, attempt and the key."""
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
+    wider = F.floor(attempt / _DRAWS).cast("int")
     hexes = F.concat(*[F.sha2(F.concat_ws("\u0001", F.lit(key), kind, canon, attempt.cast("string"), F.lit(str(k))), 256) for k in range(2)])
 
     def number(i: Column | int, below: Column | int) -> Column:
         at = F.lit(i) if isinstance(i, int) else i
         return F.conv(F.substring(hexes, (at % 42) * 3 + 1, F.lit(3)), 16, 10).cast("int") % below
 
-    def letters(text: Column, hexadecimal: bool = False) -> Column:
+    def other(c: Column, i: Column) -> Column:
+        """A letter or digit of no Latin script: one of its own, or a plain one if the script is not listed."""
+        own = F.when(c.rlike(r"\p{L}"), "abcdefghijklmnopqrstuvwxyz").otherwise("0123456789")
+        for test, text in reversed(_drawn_from()):
+            own = F.when(c.rlike(test), text).otherwise(own)
+        return F.transform(F.array(own), lambda a: F.substring(a, number(i, F.length(a)) + 1, F.lit(1)))[0]
+
+    def letters(text: Column, hexadecimal: bool = False, any_script: bool = False) -> Column:
         def one(c: Column, i: Column) -> Column:
             digit = number(i, 10).cast("string")
             low = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), number(i, 26) + 1, F.lit(1))
             accent = F.substring(F.lit(_ACCENTED), number(i, len(_ACCENTED)) + 1, F.lit(1))
             if hexadecimal:
                 return F.substring(F.lit("0123456789abcdef"), number(i, 16) + 1, F.lit(1))
-            return (
-                F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), low).when(c.rlike("[A-Z]"), F.upper(low))
-                .when(c.rlike(r"\p{IsLatin}"), accent).when(c.rlike(r"\p{L}"), F.lit("x")).otherwise(c)
-            )
+            plain = F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), low).when(c.rlike("[A-Z]"), F.upper(low))
+            if any_script:
+                plain = plain.when(c.rlike(r"\p{IsLatin}"), accent).when(c.rlike(r"[\p{L}\p{N}]"), other(c, i))
+            return plain.otherwise(c)
 
         return F.array_join(F.transform(F.split(text, ""), one), "")
 
-    digits = F.array_join(F.transform(F.split(canon, ""), lambda c, i: number(i, 10).cast("string")), "")
+    # a wider room is more digits, octets, labels or letters behind the format's own
+    longer = F.concat(canon, F.repeat(F.lit("0"), wider))
+    digits = F.array_join(F.transform(F.split(longer, ""), lambda c, i: number(i, 10).cast("string")), "")
     size = F.length(digits)
     check = (F.substring(digits, size, F.lit(1)).cast("int") + _luhn(canon) - _luhn(digits) + 10) % 10
     card = F.concat(F.substring(digits, F.lit(1), size - 1), check.cast("string"))
-    octets = F.split(canon, r"\.")
     kept = F.when(canon.rlike(r"^(?:10|127)\."), 1).when(canon.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01]))\."), 2).otherwise(0)
-    ip = F.array_join(F.transform(octets, lambda o, i: F.when(i < kept, o).otherwise((number(i, 254) + 1).cast("string"))), ".")
+    # a private block of two octets is left for 10.*.*.* before octets are added
+    moved = (kept == 2) & (wider > 0)
+    octets = F.concat(F.when(moved, F.split(F.regexp_replace(canon, r"^\d+", "10"), r"\.")).otherwise(F.split(canon, r"\.")), F.array_repeat(F.lit("0"), wider - moved.cast("int")))
+    fixed = F.when(moved, 1).otherwise(kept)
+    ip = F.array_join(F.transform(octets, lambda o, i: F.when(i < fixed, o).otherwise((number(i, 254) + 1).cast("string"))), ".")
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.when(domain.rlike(r"\.(?:com|net|org)$"), F.substring_index(domain, ".", -1)).otherwise("com")
+    more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(wider, F.lit(1))), lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), number(F.lit(42) - i % 42, 26) + 1, F.lit(1))), "")
     # letters() takes the digest's places by position, so the host continues where the local part ends
-    email = F.concat(letters(F.concat(local, F.lit("@"), F.substring_index(domain, ".", 1))), F.lit(".example."), top)
+    email = F.concat(letters(F.concat(local, F.lit("@"), F.substring_index(domain, ".", 1)), any_script=True), F.when(wider > 0, F.concat(F.lit("."), more)).otherwise(""), F.lit(".example."), top)
     script, role = F.split(kind, ":")[1], F.split(kind, ":")[2]
     parts = F.transform(F.sequence(F.lit(0), attempt + 1), lambda i: _pick(_SYLLABLES, script, lambda n: number(i, n)))
     ending = F.lit(None).cast("string")
@@ -146,10 +180,10 @@ def _core(key: str) -> Column:
         ending = F.when((script == of) & (role == part), F.element_at(_list(text), number(41, len(words)) + 1)).otherwise(ending)
     name = F.initcap(F.concat(F.array_join(parts, ""), ending))
     hexed = canon.rlike("^[0-9a-f]+$")
-    secret = F.when(hexed, letters(canon, True)).otherwise(letters(canon))
+    secret = F.when(hexed, letters(longer, True)).otherwise(letters(longer))
     return (
         F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "card", card).when(kind.isin("ssn", "phone"), digits)
-        .when(kind == "ip", ip).when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.expr("''"), letters(F.substring(canon, F.lit(3), F.length(canon)))))
+        .when(kind == "ip", ip).when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.expr("''"), letters(F.substring(longer, F.lit(3), F.length(longer)))))
         .otherwise(name)
     )
 
@@ -164,23 +198,23 @@ def _pick(lists: dict[str, str], script: Column, index) -> Column:
 def assign_surrogates(units: DataFrame, key: str) -> DataFrame:
     """(kind, canon) to (kind, canon, core), distinct cores within a kind and none that is a real entity of it.
 
-    Clashing entities but the smallest draw again, until none clashes; later
-    names are longer, so the room never runs out. A few columns of distinct
+    Clashing entities but the smallest draw again, until none clashes. Later
+    names have more syllables, and every ``_DRAWS`` draws the other kinds have a
+    character, octet or label more, so the room never runs out. A few columns of distinct
     entities are all that moves; they are written once a round.
     """
-    taken = materialize(units.distinct().withColumn("attempt", F.lit(0)), "surrogates")
+    taken = units.distinct().withColumn("attempt", F.lit(0))
     while True:
-        drawn = taken.withColumn("core", _core(key))
+        drawn = materialize(taken.withColumn("core", _core(key)), "surrogates")
         first = drawn.groupBy("kind", "core").agg(F.min("canon").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         doubled = drawn.join(first, ["kind", "core"]).where("canon <> first").select("kind", "canon")
-        real = taken.select("kind", F.col("canon").alias("known"))
-        same = (drawn["kind"] == real["kind"]) & (F.lower(drawn["core"]) == F.lower(real["known"]))
+        real = drawn.select(F.col("kind").alias("of"), F.lower("canon").alias("known"))
+        same = (F.col("kind") == F.col("of")) & (F.lower("core") == F.col("known"))
         again = materialize(doubled.unionAll(drawn.join(real, same, "left_semi").select("kind", "canon")).distinct(), "surrogates")
         if not again.take(1):
-            return materialize(drawn.select("kind", "canon", "core"), "surrogates")
+            return drawn.select("kind", "canon", "core")
         more = again.withColumn("more", F.lit(1))
-        taken = taken.join(more, ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
-        taken = materialize(taken, "surrogates")
+        taken = drawn.join(more, ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
 
 
 def _filled(value: Column, digits: Column, keep: Column) -> Column:
@@ -211,12 +245,17 @@ def _replacement() -> Column:
     shown = F.when(value.rlike(r"^\P{Ll}+$"), F.upper(one)).otherwise(one)
     digits = F.length(F.regexp_replace(value, r"\D", ""))
     title = F.regexp_extract(value, rf"^({_TITLE}\s)", 1)
+
+    def beyond(n: Column) -> Column:
+        """What a core has behind the ``n`` characters that the value has room for."""
+        return F.substring(one, n + 1, F.length(one))
+
     return (
         F.when(kind == "person", F.concat(title, F.coalesce(F.concat(two, F.regexp_extract(value, rf"^{_TITLE}\s\S+(\s)", 1)), F.lit("")), shown))
         .when(kind == "secret", F.concat(F.regexp_extract(value, rf"^({_SECRET_NAME})?", 0), one))
-        .when(kind.isin("card", "ssn"), _filled(value, one, F.lit(0)))
-        .when(kind == "phone", _filled(value, one, F.greatest(digits - 10, F.lit(0))))
-        .when(kind == "iban", _spaced(value, one))
+        .when(kind.isin("card", "ssn"), F.concat(_filled(value, one, F.lit(0)), beyond(digits)))
+        .when(kind == "phone", F.concat(_filled(value, one, F.greatest(digits - 10, F.lit(0))), beyond(F.least(digits, F.lit(10)))))
+        .when(kind == "iban", F.concat(_spaced(value, one), beyond(F.length(F.replace(value, F.lit(" "), F.lit(""))))))
         .otherwise(one)
     )
 
@@ -242,7 +281,8 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
     the same in every place, spelling and document, and differs from every
     other entity's. It keeps the format: separators, letter case, digits and
     letters in place, a card's Luhn remainder, private address ranges, country
-    code, form of address; names follow gender and script.
+    code, form of address; names follow gender, names and addresses script. Only
+    where a format has no surrogate left, one gets longer.
 
     Distinct entities and their places are joined by shuffle, a place once per
     distinct text. Texts without an entity are passed on unmoved; null and empty

@@ -1,6 +1,6 @@
 import regex
 
-from liftwise.llm.surrogates import PATTERN, assign_surrogates, replace_entities
+from liftwise.llm.surrogates import PATTERN, _core, _replacement, assign_surrogates, replace_entities
 
 DATA = "/root/testdata/sf0.01"
 FOUND = regex.compile(PATTERN)
@@ -67,3 +67,27 @@ def test_clashes_are_drawn_again(spark):
     names = [(k, f"n{i}") for i in range(6000) for k in ("name:latin:s", "name:greek:f")]
     rows = assign_surrogates(spark.createDataFrame([*names, ("name:latin:s", None)][:-1], "kind string, canon string"), "k").collect()
     assert len(rows) == len(names) == len({(r.kind, r.core) for r in rows})
+
+
+def test_letters_of_other_scripts(spark):
+    values = ["анна@почта.рф", "олег@почта.рф", "νίκος@αβγ.gr", "山田@例え.jp", "դար@ab.am", "ᚠᚢᚦ@ab.com", "ᚠᚢᚨ@ab.com", "٣٤@ab.com", "ñandú@ab.com"]
+    df = spark.createDataFrame([(i, f"to {v} now") for i, v in enumerate(values)], "doc_id long, text string")
+    got = [r.text[3:-4] for r in replace_entities(df, "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(got) and not set(got) & set(values)
+    assert all(regex.fullmatch(rf"{p}@{q}\.example\.com", v) for v, (p, q) in zip(got, [(r"\p{Cyrillic}{4}", r"\p{Cyrillic}{5}")] * 2 + [(r"\p{Greek}{5}", r"\p{Greek}{3}"), (r"\p{Han}{2}", r"\p{Han}\p{Hiragana}"), (r"\p{Armenian}{3}", "[a-z]{2}")]))
+    assert regex.fullmatch(r"[٠-٩]{2}@[a-z]{2}\.example\.com", got[7])
+
+
+def test_rooms_that_are_too_small_widen(spark):
+    emails = [f"{a}@{b}.example.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    units = [("email", v) for v in emails] + [("secret", "--------")]
+    rows = assign_surrogates(spark.createDataFrame(units, "kind string, canon string"), "k").collect()
+    cores = {(r.kind, r.core) for r in rows}
+    assert len(rows) == len(units) == len(cores) and not cores & set(units)
+    tried = [("ip", "192.168.1.1", 0), ("ip", "192.168.1.1", 4), ("ip", "192.168.1.1", 8), ("ip", "8.8.8.8", 4), ("phone", "12345", 4)]
+    cores = [r[0] for r in spark.createDataFrame(tried, "kind string, canon string, attempt int").select(_core("k")).collect()]
+    for core, form in zip(cores, (r"192\.168(\.\d+){2}", r"10(\.\d+){3}", r"10(\.\d+){4}", r"\d+(\.\d+){4}", r"\d{6}")):
+        assert regex.fullmatch(form, core)
+    longer = [("+12345", "phone", "678901"), ("+1 (017) 555-7713", "phone", "98765432101"), ("123-45-6789", "ssn", "9876543210"), ("DE12 3456 7890", "iban", "DE9876543210Z")]
+    shown = [r[0] for r in spark.createDataFrame([(*v, None) for v in longer], "value string, kind string, core1 string, core2 string").select(_replacement()).collect()]
+    assert shown == ["+678901", "+1 (987) 654-32101", "987-65-43210", "DE98 7654 3210Z"]
