@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftwise.llm import oracles
@@ -13,7 +13,10 @@ from liftwise.llm.language import held_out, identify_languages, train_languages
 from liftwise.llm.license_scan import scan_licenses
 from liftwise.llm.near_text import near_text_components
 from liftwise.llm.near_vectors import near_vector_components
+from liftwise.llm.hard_negatives import mine_hard_negatives
+from liftwise.llm.manifest import build_manifest, climb, leaf, proof_digest
 from liftwise.llm.pieces import decode_pieces, encode_pieces, load_vocabulary
+from liftwise.llm.secret_scan import BASE_RULES, find_secrets, spans_text
 from liftwise.llm.sharding import place
 from liftwise.llm.surrogates import PATTERN as ENTITY_PATTERN
 from liftwise.llm.surrogates import replace_entities
@@ -127,3 +130,33 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(docs, ranks, pattern, ["doc_id", "text", "edits"])
     done = recount_edited(counted, ranks, pattern, ["doc_id", "n_tokens"])
     return done.select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "encoded_chars", F.xxhash64("edited").alias("edited_hash"))
+
+
+@query("op11_secret_scan", oracles.SECRETS)
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"), ["doc_id"], out="found")
+    base = [r.kind for r in BASE_RULES]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, base), F.sha2(spans_text("found", base), 256).alias("base_sha256"), spans_text("found").alias("spans"))
+
+
+@query("op12_merkle_manifest", oracles.MANIFEST)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, checked after a seventh of them had their n_chars changed."""
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    keep = {"doc_id": F.col("doc_id"), "now": leaf([changed if i == 3 else c for i, c in enumerate(columns)])}
+    proved = climb(build_manifest(docs, leaf(columns), F.col("lang"), F.col("doc_id"), keep), F.col("kept.now"))
+    return proved.select("doc_id", "leaf", "subroot", "root", proof_digest("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op13_hard_negatives", oracles.NEGATIVES)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row's label is moved on by one, so that near rows of another label exist."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
