@@ -288,22 +288,11 @@ def user_contributions(events: DataFrame, exposures: DataFrame, design: Design)
     )
 
 
-def variant_stats_from_exposures(
-    events: DataFrame, exposures: DataFrame, design: Design, by: Sequence[str] = ()
-) -> DataFrame:
-    """Users, conversions, sum and sum of squares per (run, metric, variant[, by])."""
-    x = contribution(F.col("metric_agg"), F.col("conv_count"), F.col("user_sum"))
-    sums = (
-        user_totals(events, exposures, design, by)
-        .withColumn("x", x)
-        .groupBy("run_id", "metric_ord", "variant", *by)
-        .agg(
-            F.count("*").alias("_conversions"),
-            F.sum("x").alias("_sum"),
-            F.sum(F.col("x") * F.col("x")).alias("_squares"),
-        )
-    )
-    users = exposures.groupBy("run_id", "variant", *by).agg(F.count("*").alias("users"))
+def stats_of_sums(users: DataFrame, sums: DataFrame, design: Design, by: Sequence[str] = ()) -> DataFrame:
+    """Variant statistics from exposed users per (run, variant) and sums per (run, metric, variant).
+
+    Users without events add zeros to every sum, so a variant without sums has zeros.
+    """
     spec = design.metrics.select("run_id", "metric_ord", F.col("event_name").alias("metric"), "role",
                         "metric_type", "metric_agg", "inverse")
     keys = ["run_id", "metric_ord", "variant", *by]
@@ -323,6 +312,25 @@ def variant_stats_from_exposures(
     )
 
 
+def variant_stats_from_exposures(
+    events: DataFrame, exposures: DataFrame, design: Design, by: Sequence[str] = ()
+) -> DataFrame:
+    """Users, conversions, sum and sum of squares per (run, metric, variant[, by])."""
+    x = contribution(F.col("metric_agg"), F.col("conv_count"), F.col("user_sum"))
+    sums = (
+        user_totals(events, exposures, design, by)
+        .withColumn("x", x)
+        .groupBy("run_id", "metric_ord", "variant", *by)
+        .agg(
+            F.count("*").alias("_conversions"),
+            F.sum("x").alias("_sum"),
+            F.sum(F.col("x") * F.col("x")).alias("_squares"),
+        )
+    )
+    users = exposures.groupBy("run_id", "variant", *by).agg(F.count("*").alias("users"))
+    return stats_of_sums(users, sums, design, by)
+
+
 def variant_stats(
     evals: DataFrame,
     events: DataFrame,

@@ -52,7 +52,7 @@ def write_tables(evals: DataFrame, events: DataFrame, path: str, mode: str = "ap
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(T.StructType(schema.fields).add("event_month", T.IntegerType())).parquet(path)
+    return spark.read.schema(T.StructType(list(schema.fields)).add("event_month", T.IntegerType())).parquet(path)
 
 
 def read_evaluations(
@@ -79,6 +79,12 @@ def read_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def expired_before(as_of: str | dt.date, days: int = 365) -> int:
+    """The first month, yyyymm, that still holds rows younger than the retention period."""
+    first = fl._date(as_of, "as_of") - dt.timedelta(days=days - 1)
+    return int(first.strftime("%Y%m"))
+
+
 def retained(df: DataFrame, as_of: str | dt.date, days: int = 365, ts: str = "timestamp") -> DataFrame:
     """Rows younger than the retention period: day + ``days`` lies after ``as_of``.
 

@@ -1,9 +1,10 @@
 """Running results over the event streams: first exposures and daily rollups.
 
-Aggregates run in update mode. Every batch appends the groups it changed to a
-table, labelled with the batch; readers merge the versions of a group. Nothing
-is updated in place, a replayed batch replaces its own rows, and a compaction
-may keep only the merged rows at any time.
+Aggregates run in update mode over day windows, so a watermark lets their state
+go. Every batch adds the groups it changed as a part of a table; readers merge
+the versions of a group, and parts are folded by the same merge. Nothing is
+updated in place, and a reader sees either the parts or what they were folded
+into.
 """
 
 from __future__ import annotations
@@ -14,58 +15,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from liftwise.sources.generations import FAN_IN, Generations
+from liftwise.streaming.ingest import interval_micros
 
-def append_versions(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that stores changed groups under their batch number."""
+FIRST_EXPOSURES = "env_id string, flag_key string, user_key string, first struct<timestamp: timestamp, variant: string>"
+DAILY_EVENTS = (
+    "date date, env_id string, event_name string, users_sketch binary, events bigint, value_sum double, value_sum_sq double, batch bigint"
+)
 
-    def write(df: DataFrame, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch").parquet(path)
+_DAY = 86_400_000_000
 
-    return write
 
+def run_versions(
+    changes: DataFrame, table: Generations, merge: Callable[[DataFrame], DataFrame], checkpoint: str, available_now: bool = True, fan_in: int = FAN_IN
+) -> StreamingQuery:
+    """Add each batch's changed groups to ``table`` and fold its parts by ``merge`` as they gather."""
 
-def run_versions(changes: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    writer = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(
-        append_versions(path)
-    )
+    def write(df: DataFrame, batch: int) -> None:
+        table.append(df.withColumn("batch", F.lit(batch).cast("bigint")), batch)
+        table.compact(merge, fan_in)
+
+    writer = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
-def running_first_exposures(evals: DataFrame) -> DataFrame:
-    """Earliest (instant, variant) per (env, flag, user) so far.
+def first_exposure_table(spark: SparkSession, path: str) -> Generations:
+    return Generations(spark, path, FIRST_EXPOSURES)
 
-    State is kept for every user, one small row each, and an evaluation that
-    arrives late, yet is earlier, still corrects the result. To bound the
-    state, stop the stream and start it on a new checkpoint: versions of both
-    runs merge at read.
-    """
-    return evals.groupBy("env_id", "flag_key", "user_key").agg(F.min(F.struct("timestamp", "variant")).alias("first"))
 
+def running_first_exposures(evals: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """Earliest (instant, variant) per (env, flag, user) and day, as evaluations arrive.
 
-def read_first_exposures(spark: SparkSession, path: str) -> DataFrame:
-    """Merge all versions: the smallest wins, whatever order they came in."""
-    merged = spark.read.parquet(path).groupBy("env_id", "flag_key", "user_key").agg(F.min("first").alias("first"))
-    return merged.select(
-        "env_id", "flag_key", "user_key", F.col("first.variant").alias("variant"), F.col("first.timestamp").alias("exposure_ts")
+    A user's first exposure is the smallest of all days, taken at read. State is
+    one small row per user and day, and goes when the watermark has passed the
+    day: it holds the users of the last days, not of all time. An evaluation
+    that arrives late by up to ``lateness``, yet is earlier, still corrects its
+    day. Later ones never get here: ingest quarantines them by the same bound.
+    """
+    return (
+        evals.withWatermark("timestamp", lateness)
+        .groupBy(F.window("timestamp", "1 day"), "env_id", "flag_key", "user_key")
+        .agg(F.min(F.struct("timestamp", "variant")).alias("first"))
+        .drop("window")
     )
 
 
-def compact_first_exposures(spark: SparkSession, path: str, into: str) -> None:
-    """Write one row per (env, flag, user) of all versions at ``path`` to the new table ``into``, as version -1."""
-    merged = spark.read.parquet(path).groupBy("env_id", "flag_key", "user_key").agg(F.min("first").alias("first"))
-    merged.withColumn("batch", F.lit(-1).cast("bigint")).write.partitionBy("batch").parquet(into)
+def merge_first_exposures(versions: DataFrame) -> DataFrame:
+    """The smallest version wins, whatever order they came in."""
+    return versions.groupBy("env_id", "flag_key", "user_key").agg(F.min("first").alias("first"))
 
 
-def compact_daily_events(spark: SparkSession, path: str, into: str) -> None:
-    """Write the last version of each day's rollup to the new table ``into``, as version -1."""
-    read_daily_events(spark, path).withColumn("batch", F.lit(-1).cast("bigint")).write.partitionBy("batch").parquet(into)
+def read_first_exposures(table: Generations) -> DataFrame:
+    return merge_first_exposures(table.read()).select(
+        "env_id", "flag_key", "user_key", F.col("first.variant").alias("variant"), F.col("first.timestamp").alias("exposure_ts")
+    )
+
+
+def daily_event_table(spark: SparkSession, path: str) -> Generations:
+    return Generations(spark, path, DAILY_EVENTS)
 
 
 def daily_events(events: DataFrame, lateness: str = "2 days", precision: int = 14) -> DataFrame:
-    """Events, sums and a user sketch per (env, event, day), updated as data arrives."""
+    """Events, sums and a user sketch per (env, event, day), updated as data arrives; a day's state goes with the watermark."""
     v = F.col("numeric_value")
     day = F.window("timestamp", "1 day").alias("day")
     return events.withWatermark("timestamp", lateness).groupBy(day, "env_id", "event_name").agg(
@@ -74,17 +86,25 @@ def daily_events(events: DataFrame, lateness: str = "2 days", precision: int = 1
     ).select(F.to_date("day.start").alias("date"), "env_id", "event_name", "users_sketch", "events", "value_sum", "value_sum_sq")
 
 
-def read_daily_events(spark: SparkSession, path: str) -> DataFrame:
+def merge_daily_events(versions: DataFrame) -> DataFrame:
     """The last version of each day's rollup."""
     columns = ["users_sketch", "events", "value_sum", "value_sum_sq"]
-    last = spark.read.parquet(path).groupBy("date", "env_id", "event_name").agg(
-        F.max_by(F.struct(*columns), "batch").alias("v")
-    )
-    return last.select("date", "env_id", "event_name", "v.*")
+    last = versions.groupBy("date", "env_id", "event_name").agg(F.max_by(F.struct(*columns), "batch").alias("v"), F.max("batch").alias("batch"))
+    return last.select("date", "env_id", "event_name", "v.*", "batch")
+
+
+def read_daily_events(table: Generations) -> DataFrame:
+    return merge_daily_events(table.read()).drop("batch")
 
 
 def daily_exposed_users(evals: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """Each user once per (env, flag, variant, day): the exact-distinct state as a stream of rows."""
+    """Each user once per (env, flag, variant, day): the exact-distinct state as a stream of rows.
+
+    A user's rows of one day may lie a day apart, so with a shorter ``lateness``
+    a repeat could come after its key was forgotten; that is refused.
+    """
+    if interval_micros(evals.sparkSession, lateness) < _DAY:
+        raise ValueError("lateness must be a day at least, for a day's repeats to be recognised")
     return (
         evals.withColumn("date", F.to_date("timestamp"))
         .withWatermark("timestamp", lateness)

@@ -55,4 +55,4 @@ def test_batch_counts(spark, tmp_path):
     bodies = spark.createDataFrame([("env", body), ("env", "oops")], ingest.BATCH_SCHEMA)
     assert ingest.write_batch(bodies, 3, str(tmp_path)) == {"evaluations": 1, "events": 2, "rejected": 1}
     assert ingest.write_batch(bodies, 3, str(tmp_path)) == {"evaluations": 1, "events": 2, "rejected": 1}
-    assert spark.read.parquet(f"{tmp_path}/metric_events").count() == 2
+    assert ingest.landed_events(spark, str(tmp_path)).rows.read().count() == 2

@@ -142,9 +142,10 @@ def test_late_exposure_corrects_the_first(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
 
     def run():
-        q = state.run_versions(state.running_first_exposures(stream), str(tmp_path / "out"), str(tmp_path / "check"))
+        table = state.first_exposure_table(spark, str(tmp_path / "out"))
+        q = state.run_versions(state.running_first_exposures(stream), table, state.merge_first_exposures, str(tmp_path / "check"))
         assert q.awaitTermination(120)
-        return state.read_first_exposures(spark, str(tmp_path / "out")).first()
+        return state.read_first_exposures(table).first()
 
     assert run().variant == "b"
     spark.createDataFrame([("e", "f", "u", "a", at("2024-01-01"))], schema).write.mode("append").parquet(str(tmp_path / "in"))
