@@ -150,7 +150,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
     changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
     keep = {"doc_id": F.col("doc_id"), "now": leaf([changed if i == 3 else c for i, c in enumerate(columns)])}
-    proved = climb(build_manifest(docs, leaf(columns), F.col("lang"), F.col("doc_id"), keep), F.col("kept.now"))
+    proved = climb(build_manifest(docs, leaf(columns), F.col("lang"), F.col("doc_id"), keep), "now")
     return proved.select("doc_id", "leaf", "subroot", "root", proof_digest("proof").alias("proof_sha256"), "folded_root", "verified")
 
 
