@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftwise.functions.moments import arm_posterior, moments
-from liftwise.functions.random import standard_normal, with_uniforms
+from liftwise.functions.random import standard_normal, uniform
 from liftwise.functions.rounding import to_fixed
 from liftwise.plans.bayes import run_arms, srm_p_value
 
@@ -56,27 +56,29 @@ def draw_counts(arms: DataFrame, draws: int = DRAWS) -> DataFrame:
     """(run_id, arm_idx, firsts, top_twos) over ``draws`` posterior draws per run.
 
     ``arms`` needs run_id, seed, arm_idx, mean, variance, n, inverse and the prior.
-    Only arms and block numbers are shuffled; draws are made and ranked inside
-    the task that holds all arms of their block.
+    Only the runs' lists of arms and block numbers are shuffled. A draw is one
+    row that holds its run's few arms, so its best two are found without
+    grouping or sorting draws, and only counts leave the task.
     """
     mean, variance = arm_posterior(*[F.col(c) for c in ("mean", "variance", "n", "prior_proper", "prior_mean", "prior_stddev")])
     blocks = (draws + BLOCK - 1) // BLOCK
-    counted = arms.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("run_id")))
-    spread = counted.select(
-        "run_id", "seed", "arm_idx", "inverse", "count", mean.alias("mu"),
-        F.sqrt(F.greatest(variance, F.lit(1e-12))).alias("sd"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
+    arm = F.struct("arm_idx", mean.alias("mu"), F.sqrt(F.greatest(variance, F.lit(1e-12))).alias("sd"))
+    whole = arms.groupBy("run_id", "seed", "inverse").agg(F.sort_array(F.collect_list(arm)).alias("arms"))
     # A set number of partitions: the few input rows must not be merged into one task.
     partitions = int(arms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = whole.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(partitions, "run_id", "block")
     inside = F.sequence(F.col("block") * BLOCK, F.least((F.col("block") + 1) * BLOCK, F.lit(draws)) - 1)
-    drawn = spread.repartition(partitions, "run_id", "block").withColumn("draw", F.explode(inside))
-    k = (F.col("draw").cast("bigint") * F.col("count") + F.col("arm_idx")) * 2
-    values = with_uniforms(drawn, F.col("seed"), {"u1": k + 1, "u2": k + 2}).select(
-        "run_id", "block", "draw", "arm_idx", "inverse",
-        (F.col("mu") + F.col("sd") * standard_normal(F.col("u1"), F.col("u2"))).alias("value"),
-    )
-    return counts_from_samples(values, ("run_id", "block", "draw"))
+    drawn = spread.select("run_id", "seed", "inverse", "arms", F.explode(inside).alias("draw"))
+
+    def value(arm: Column) -> Column:
+        k = (F.col("draw").cast("bigint") * F.size("arms") + arm["arm_idx"]) * 2
+        normal = standard_normal(uniform(F.col("seed"), k + 1), uniform(F.col("seed"), k + 2))
+        return arm["mu"] + arm["sd"] * normal
+
+    def signed(arm: Column) -> Column:
+        return F.struct(F.when(F.col("inverse"), -value(arm)).otherwise(value(arm)).alias("signed"), (-arm["arm_idx"]).alias("down"))
+
+    return _two_best(drawn.select("run_id", F.transform("arms", signed).alias("arms")))
 
 
 def rank_draws(samples: DataFrame, draw: Sequence[str] = ("run_id", "draw")) -> DataFrame:
@@ -86,12 +88,19 @@ def rank_draws(samples: DataFrame, draw: Sequence[str] = ("run_id", "draw")) ->
     return samples.withColumn("rank", F.row_number().over(order))
 
 
+def _two_best(draws: DataFrame) -> DataFrame:
+    """(run_id, arm_idx, firsts, top_twos) from draws, each a short list of (signed, down): its greatest and the greatest of the rest."""
+    best = draws.withColumn("best", F.array_max("arms"))
+    second = F.array_max(F.filter("arms", lambda a: a["down"] != F.col("best.down")))
+    two = best.select("run_id", F.posexplode(F.array("best", second)).alias("place", "arm")).where(F.col("arm").isNotNull())
+    return two.groupBy("run_id", (-F.col("arm.down")).alias("arm_idx")).agg(F.count_if(F.col("place") == 0).alias("firsts"), F.count("*").alias("top_twos"))
+
+
 def counts_from_samples(samples: DataFrame, draw: Sequence[str] = ("run_id", "draw")) -> DataFrame:
-    """How often each arm came first and among the first two in a sample matrix."""
-    return (
-        rank_draws(samples, draw).where(F.col("rank") <= 2).groupBy("run_id", "arm_idx")
-        .agg(F.count_if(F.col("rank") == 1).alias("firsts"), F.count("*").alias("top_twos"))
-    )
+    """How often each arm came first and among the first two in a sample matrix. A draw has as many rows as its run has arms."""
+    signed = F.when(F.col("inverse"), -F.col("value")).otherwise(F.col("value"))
+    arms = F.collect_list(F.struct(signed.alias("signed"), (-F.col("arm_idx")).alias("down")))
+    return _two_best(samples.groupBy(*draw).agg(arms.alias("arms")).select("run_id", "arms"))
 
 
 def weights_from_counts(arms: DataFrame, counts: DataFrame) -> DataFrame:
