@@ -6,6 +6,7 @@ up group sizes. Pairs are only listed for the experiments somebody asks about.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
@@ -242,10 +243,52 @@ def overlap_counts(runs: DataFrame, experiments: DataFrame | None = None) -> Dat
     )
 
 
+#: Days are counted from here; dyadic spans of days have up to 2 to the power of ``_LEVELS`` days.
+_DAY_ZERO = dt.date(1900, 1, 1)
+_LEVELS = 17
+
+
+def _day_number(ts: Column) -> Column:
+    days = F.datediff(F.to_date(ts), F.lit(_DAY_ZERO))
+    return F.greatest(F.least(days, F.lit(2**_LEVELS - 1)), F.lit(0))
+
+
+def _spans_over(day: Column) -> Column:
+    """The dyadic spans that hold a day, one per level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", day, k).alias("span")))
+
+
+def _spans_of(first: Column, last: Column) -> Column:
+    """The fewest dyadic spans that make up the days from ``first`` to ``last``, at most two per level and none twice."""
+
+    def at(k: Column) -> Column:
+        low = F.call_function("shiftright", first + F.call_function("shiftleft", F.lit(1), k) - 1, k)
+        high = F.call_function("shiftright", last + 1, k)
+        some = low < high
+        return F.array(F.when(some & (low % 2 == 1), F.struct(k.alias("level"), low.alias("span"))), F.when(some & (high % 2 == 1), F.struct(k.alias("level"), (high - 1).alias("span"))))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), at)))
+
+
+def _starts_within(points: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+    """Pairs of a point's row (key, _at) and a window's (key, _from, _to) whose days hold it.
+
+    A day is in exactly one of the dyadic spans that make up a window, so every
+    pair is made once, and rows that share no day never meet. A window is
+    joined under some 2 log(days) spans, a point under one span a level.
+    """
+    held = points.withColumn("_s", F.explode(_spans_over(_day_number(F.col("_at"))))).select("*", "_s.level", "_s.span").drop("_s")
+    open_ = windows.withColumn("_s", F.explode(_spans_of(_day_number(F.col("_from")), _day_number(F.col("_to"))))).select("*", "_s.level", "_s.span").drop("_s")
+    return held.join(open_, [key, "level", "span"]).drop("level", "span")
+
+
 def overlaps_of(runs: DataFrame, focus: DataFrame, experiments: DataFrame | None = None) -> DataFrame:
     """Overlapping windows of the asked-for experiments' runs, run by run.
 
-    For one experiment or a few: every pair is a row. ``overlap_counts`` serves all of them.
+    Two windows overlap when one starts within the other: theirs within mine, or
+    mine within theirs after its start. Both are joins of starts with windows
+    over dyadic spans of days, so work follows the pairs that are returned, not
+    the runs that share a flag. ``overlap_counts`` serves all without pairs.
     """
     windows = _windows(runs)
     asked = focus.select("experiment_id").distinct()
@@ -253,9 +296,14 @@ def overlaps_of(runs: DataFrame, focus: DataFrame, experiments: DataFrame | None
         F.col("run_id").alias("focus_run"), F.col("experiment_id").alias("focus_id"), "flag_key",
         F.col("from_ts").alias("_a"), F.col("to_ts").alias("_b"),
     )
-    theirs = _active(windows, experiments)
+    theirs = _active(windows, experiments).select("run_id", "experiment_id", "flag_key", "from_ts", "to_ts")
+    inside = _starts_within(theirs.withColumn("_at", F.col("from_ts")), mine.withColumns({"_from": F.col("_a"), "_to": F.col("_b")}), "flag_key")
+    inside = inside.where(F.col("from_ts") >= F.col("_a"))
+    around = _starts_within(mine.withColumn("_at", F.col("_a")), theirs.withColumns({"_from": F.col("from_ts"), "_to": F.col("to_ts")}), "flag_key")
+    around = around.where(F.col("from_ts") < F.col("_a"))
+    columns = ["focus_run", "focus_id", "run_id", "experiment_id", "flag_key", "_a", "_b", "from_ts", "to_ts"]
     day = "yyyy-MM-dd"
-    return theirs.join(mine, "flag_key").where(
+    return inside.select(*columns).unionAll(around.select(*columns)).where(
         (F.col("experiment_id") != F.col("focus_id")) & (F.col("_a") <= F.col("to_ts")) & (F.col("from_ts") <= F.col("_b"))
     ).select(
         "focus_run", "run_id", "flag_key",

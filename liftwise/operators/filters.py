@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +82,30 @@ def validate_query(
     return first, last
 
 
+def argument_error() -> Column:
+    """What ``validate_query`` would say of a row of query arguments, null if they are sound.
+
+    Over columns caller_env, env_id, flag_key, metric_event, start, end,
+    metric_type, metric_agg, all text. A row that asks for an environment other
+    than its caller's is refused after its arguments are found sound.
+    """
+    needed = ["flag_key", "metric_event", "start", "end", "metric_type", "metric_agg"]
+    blank = reduce(lambda a, b: a | b, [F.trim(F.coalesce(c, F.lit(""))) == "" for c in needed])
+    shape = r"^\d{4}-\d{2}-\d{2}$"
+    days = {c: F.when(F.col(c).rlike(shape), F.try_to_date(c, "yyyy-MM-dd")) for c in ("start", "end")}
+    other = F.coalesce(F.col("env_id"), F.lit("")) != ""
+    return (
+        F.when(blank, F.lit("flag_key, metric_event, start, end, metric_type, metric_agg are all required"))
+        .when(~F.col("metric_type").isin(*METRIC_TYPES), F.lit("metric_type must be one of " + ", ".join(METRIC_TYPES)))
+        .when(~F.col("metric_agg").isin(*METRIC_AGGS), F.lit("metric_agg must be one of " + ", ".join(METRIC_AGGS)))
+        .when(days["start"].isNull(), F.lit("start must be YYYY-MM-DD"))
+        .when(days["end"].isNull(), F.lit("end must be YYYY-MM-DD"))
+        .when(days["end"] < days["start"], F.lit("end must not be before start"))
+        .when(F.coalesce(F.col("caller_env"), F.lit("")) == "", F.lit("env_id is required"))
+        .when(other & (F.col("env_id") != F.col("caller_env")), F.lit("requested env_id does not match the caller's environment"))
+    )
+
+
 def clamp_traffic(percent: Column, offset: Column) -> tuple[Column, Column]:
     """Traffic slice with defaults 100 and 0, percent kept in 1-100, offset in 0-99."""
     percent = F.least(F.lit(100.0), F.greatest(F.lit(1.0), F.coalesce(percent.cast("double"), F.lit(100.0))))

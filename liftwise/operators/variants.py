@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Observed variants that a warning lists, those with most users.
+LISTED = 100
 
 
 def _primary(stats: DataFrame) -> DataFrame:
@@ -56,31 +58,53 @@ def apply_corrections(runs: DataFrame, corrections: DataFrame) -> DataFrame:
     )
 
 
-def variant_mismatches(stats: DataFrame, runs: DataFrame) -> DataFrame:
+def most_seen(stats: DataFrame, keys: list[str], most: int, first: Column | None = None) -> DataFrame:
+    """The ``most`` variants with most users per ``keys``, ties by name; those of ``first`` before others.
+
+    Every task keeps its best before rows move, so a run with any number of
+    variants sends and holds ``most`` of them per task.
+    """
+    order = [F.col("n").desc_nulls_last(), "variant"]
+    ranked = Window.partitionBy(*keys).orderBy(*([first.desc()] if first is not None else []), *order)
+    return stats.withColumn("_place", F.row_number().over(ranked)).where(F.col("_place") <= most).drop("_place")
+
+
+def stray_variants(stats: DataFrame, runs: DataFrame) -> DataFrame:
+    """Observed variants of the primary metric that no run's arms name, one row each: (run_id, variant, n)."""
+    arms = _configured(runs).select("run_id", F.col("arm").alias("variant"))
+    return _primary(stats).groupBy("run_id", "variant").agg(F.max("n").alias("n")).join(arms, ["run_id", "variant"], "left_anti")
+
+
+def variant_mismatches(stats: DataFrame, runs: DataFrame, most: int = LISTED) -> DataFrame:
     """Runs whose primary metric lacks the control and other expected names, with a warning.
 
-    Names are listed only for those runs.
+    Names are listed only for those runs, and of the observed ones at most the
+    ``most`` with most users; ``n_available`` counts all, and
+    ``stray_variants`` has the rest as rows.
     """
     arms = _configured(runs)
-    seen = _primary(stats).select("run_id", "variant").distinct()
-    missing = arms.join(seen.withColumnRenamed("variant", "arm"), ["run_id", "arm"], "left_anti")
-    has_data = seen.select("run_id").distinct()
-    no_control = missing.where(F.col("arm_idx") == 0).select("run_id").join(has_data, "run_id", "left_semi")
+    seen = _primary(stats).groupBy("run_id", "variant").agg(F.max("n").alias("n"))
+    missing = arms.join(seen.select("run_id", F.col("variant").alias("arm")), ["run_id", "arm"], "left_anti")
+    totals = seen.groupBy("run_id").agg(F.count("*").alias("n_available"))
+    no_control = missing.where(F.col("arm_idx") == 0).select("run_id").join(totals, "run_id")
     expected = arms.join(no_control, "run_id", "left_semi").groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.struct("arm_idx", "arm"))).alias("e")
     )
     lacking = missing.join(no_control, "run_id", "left_semi").groupBy("run_id").agg(
         F.array_sort(F.collect_list("arm")).alias("missing")
     )
-    found = seen.join(no_control, "run_id", "left_semi").groupBy("run_id").agg(
+    found = most_seen(seen.join(no_control, "run_id", "left_semi"), ["run_id"], most).groupBy("run_id").agg(
         F.array_sort(F.collect_list("variant")).alias("available")
     )
     names = F.concat_ws(", ", F.transform("e", lambda a: a["arm"]))
+    more = F.when(F.col("n_available") > F.size("available"), F.concat(F.lit(" and "), F.col("n_available") - F.size("available"), F.lit(" more")))
     text = F.concat(
-        F.lit("The run is set up for ["), names, F.lit("], its data holds ["), F.concat_ws(", ", "available"),
+        F.lit("The run is set up for ["), names, F.lit("], its data holds ["), F.concat_ws(", ", "available"), F.coalesce(more, F.lit("")),
         F.lit("]. Set the run's variants to those of its data."),
     )
-    return expected.join(lacking, "run_id").join(found, "run_id").select("run_id", "missing", "available", text.alias("warning"))
+    return expected.join(lacking, "run_id").join(found, "run_id").join(no_control, "run_id").select(
+        "run_id", "missing", "available", "n_available", text.alias("warning")
+    )
 
 
 def incomplete_metrics(stats: DataFrame, specs: DataFrame, runs: DataFrame) -> DataFrame:

@@ -23,14 +23,16 @@ def live_statistics(
     return to_stats(variant_stats(evals, events, design, options, balanced))
 
 
-def analyze_statistics(stats: DataFrame, runs: DataFrame, computed_at: str) -> DataFrame:
-    """(run_id, status, analysis, variants_corrected, analysis_result) from given statistics.
+def analyze_statistics(stats: DataFrame, runs: DataFrame, computed_at: str, failures: DataFrame | None = None) -> DataFrame:
+    """(run_id, status, analysis, reason, variants_corrected, analysis_result) from given statistics.
+
+    ``failures`` (run_id, error) are customer sources that could not be read.
 
     Statistics feed several reports, so pass a written table (``materialize``),
     not a plan that would attribute events again for each of them.
     """
     runs = apply_corrections(runs, corrected_variants(stats, runs))
-    status = data_status(stats, runs)
+    status = data_status(stats, runs, failures)
     usable = status.where(F.col("status") == "ok")
     bayes = runs.join(usable.where(F.col("analysis") == "bayesian").select("run_id"), "run_id", "left_semi")
     bandits = runs.join(usable.where(F.col("analysis") == "bandit").select("run_id"), "run_id", "left_semi")
@@ -42,18 +44,19 @@ def analyze_statistics(stats: DataFrame, runs: DataFrame, computed_at: str) -> D
         bandit_results(bandit_weights(bandit_arms(stats, bandits)), computed_at)
     )
     return status.join(runs.select("run_id", "variants_corrected"), "run_id").join(documents, "run_id", "left").select(
-        "run_id", "status", "analysis", "variants_corrected", "analysis_result"
+        "run_id", "status", "analysis", "reason", "variants_corrected", "analysis_result"
     )
 
 
 def analyze(
     evals: DataFrame, events: DataFrame, runs: DataFrame, as_of: str,
-    customer: DataFrame | None = None, options: DesignFilters = NO_FILTERS, balanced: bool = False,
+    customer: DataFrame | None = None, options: DesignFilters = NO_FILTERS, balanced: bool = False, failures: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Analyse every run: returns (statistics with their data source, results).
 
     Live statistics are taken from the event tables, customer statistics as
-    given, stored ones from the runs' ``input_data``. The statistics are written
+    given, stored ones from the runs' ``input_data``. ``failures``, the second result of
+    ``read_routed``, ends those runs with their reason. The statistics are written
     to scratch storage once and all reports read that table.
     """
     prepared = run_defaults(runs, as_of)
@@ -65,4 +68,4 @@ def analyze(
     stored = stored_statistics(prepared) if "input_data" in prepared.columns else nothing
     chosen = choose_source(prepared, live, nothing if customer is None else customer, stored)
     stats = materialize(with_specs(chosen, specs), "stats")
-    return stats, analyze_statistics(stats, prepared, as_of)
+    return stats, analyze_statistics(stats, prepared, as_of, failures)

@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftwise.schemas import METHODS
+from liftwise.schemas import CUSTOMER_MODES, METHODS
 
 HIGH_RISK = 0.02
 LOW_RISK = 0.01
 DEFAULT_MINIMUM = 1000
 
 
-def data_status(stats: DataFrame, runs: DataFrame) -> DataFrame:
-    """Whether a run has data to analyse, and by which job: (run_id, status, analysis, notes).
+def data_status(stats: DataFrame, runs: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Whether a run has data to analyse, and by which job: (run_id, status, analysis, reason, note).
 
-    ``frequentist`` is an allowed method that is analysed like ``bayesian_ab``.
+    A run in ``failures`` (run_id, error) that takes its data from a customer's
+    source is a ``customer_source_failed`` with that reason, whatever is stored on
+    it. ``frequentist`` is an allowed method that is analysed like ``bayesian_ab``.
     """
+    none = F.lit(None).cast("string")
+    if failures is None or "data_source_mode" not in runs.columns:
+        failed = runs.select("run_id", none.alias("_error")).limit(0)
+    else:
+        theirs = runs.where(F.col("data_source_mode").isin(*CUSTOMER_MODES)).select("run_id")
+        reason = F.concat(F.lit("Customer endpoint fetch failed: "), F.coalesce(F.min("error"), F.lit("unknown error")))
+        failed = failures.join(theirs, "run_id", "left_semi").groupBy("run_id").agg(reason.alias("_error"))
     primary = stats.where(F.col("role") == "primary").groupBy("run_id").agg(
         F.count("*").alias("_rows"), F.sum(F.coalesce("n", F.lit(0.0))).alias("_users")
     )
     status = (
-        F.when(F.coalesce("_rows", F.lit(0)) == 0, F.lit("no_primary_metric_rows"))
+        F.when(F.col("_error").isNotNull(), F.lit("customer_source_failed"))
+        .when(F.coalesce("_rows", F.lit(0)) == 0, F.lit("no_primary_metric_rows"))
         .when(F.col("_users") == 0, F.lit("zero_users"))
         .otherwise(F.lit("ok"))
     )
     method = F.coalesce("method", F.lit(METHODS[0]))
-    return runs.select("run_id", "method").join(primary, "run_id", "left").select(
+    return runs.select("run_id", "method").join(primary, "run_id", "left").join(failed, "run_id", "left").select(
         "run_id", status.alias("status"),
-        F.when(method == "bandit", F.lit("bandit")).otherwise(F.lit("bayesian")).alias("analysis"),
+        F.when(method == "bandit", F.lit("bandit")).otherwise(F.lit("bayesian")).alias("analysis"), F.col("_error").alias("reason"),
         F.when(method == "frequentist", F.lit("frequentist runs are analysed as bayesian_ab")).alias("note"),
     )
 
@@ -192,3 +202,30 @@ def priors_from_history(history: DataFrame, keys: list[str]) -> DataFrame:
 def windows_overlap(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
     """Whether a pilot's and a main run's windows share a day, which would count its data twice."""
     return (start_a <= end_b) & (start_b <= end_a)
+
+
+def priors_before(history: DataFrame, mains: DataFrame, keys: list[str]) -> DataFrame:
+    """For each main run, the prior its keys' earlier runs give: those whose window ended before its own began.
+
+    ``history`` has keys, start_date, end_date, rel_delta, ci_lower, ci_upper;
+    ``mains`` has run_id, keys, start_date. A past run whose window shares a day
+    with the main run's, or follows it, would count its data twice and is left
+    out. Running sums by end date serve all main runs of a key; no pairs are
+    formed. Sums are taken about the key's mean effect.
+    """
+    width = (F.col("ci_upper") - F.col("ci_lower")) / F.lit(2 * 1.96)
+    past = history.where(F.col("rel_delta").isNotNull() & F.col("end_date").isNotNull())
+    centres = past.groupBy(*keys).agg(F.avg("rel_delta").alias("_c"))
+    points = past.join(centres, keys).select(*keys, F.col("end_date").alias("_at"), F.lit(0).alias("_main"), F.lit(None).cast("string").alias("run_id"),
+                                             (F.col("rel_delta") - F.col("_c")).alias("_x"), width.alias("_w"), "_c")
+    none = F.lit(None).cast("double")
+    asked = mains.join(centres, keys).select(*keys, F.col("start_date").alias("_at"), F.lit(1).alias("_main"), "run_id", none.alias("_x"), none.alias("_w"), "_c")
+    # A window that ends on the day the main run starts shares that day, so the asking row comes first.
+    earlier = Window.partitionBy(*keys).orderBy("_at", F.desc("_main")).rowsBetween(Window.unboundedPreceding, -1)
+    n, total, squares = F.count("_x").over(earlier), F.sum("_x").over(earlier), F.sum(F.col("_x") * F.col("_x")).over(earlier)
+    held = points.unionAll(asked).withColumns({"past_runs": n, "_s": total, "_q": squares, "_w": F.max("_w").over(earlier)})
+    mean = F.col("_s") / F.col("past_runs")
+    spread = F.sqrt(F.greatest((F.col("_q") - F.col("_s") * mean) / F.greatest(F.col("past_runs") - 1, F.lit(1)), F.lit(0.0)))
+    return held.where((F.col("_main") == 1) & (F.col("past_runs") > 0)).select(
+        "run_id", *keys, "past_runs", (F.col("_c") + mean).alias("prior_mean"), F.when(F.col("past_runs") > 1, spread).otherwise(F.col("_w")).alias("prior_stddev")
+    )

@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from liftwise.operators.variants import most_seen
 from liftwise.session import materialize
 
+#: Variants of a metric in a run's document.
+VARIANTS = 1000
 
-def input_data_json(stats: DataFrame) -> DataFrame:
+
+def input_data_json(stats: DataFrame, runs: DataFrame | None = None, most: int = VARIANTS) -> DataFrame:
     """Per run, the document {"metrics": {event: {variant: numbers, "inverse"?: true}}}.
 
     Built in two small steps, variant then metric, with keys in metric and
-    variant order.
+    variant order. A metric holds at most ``most`` variants: with ``runs`` given
+    their arms, then those with most users. ``omitted`` counts the cells left
+    out, which ``omitted_statistics`` has as rows.
     """
+    cells_in = stats.groupBy("run_id").agg(F.count("*").alias("_cells"))
+    stats = _listed(stats, runs, most)
     number = {c: F.col(c).cast("double") for c in ("n", "k", "sum", "sum_squares", "mean", "variance")}
     cell = F.struct(F.col("variant").alias("key"), F.to_json(F.struct(*[v.alias(c) for c, v in number.items()])).alias("value"))
     per_metric = stats.groupBy("run_id", "metric_ord", "metric").agg(
@@ -27,9 +35,26 @@ def input_data_json(stats: DataFrame) -> DataFrame:
         F.lit("{"), pairs(F.col("cells")), F.when(F.col("inverse"), F.lit(',"inverse":true')).otherwise(F.lit("")), F.lit("}")
     )
     per_run = per_metric.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("metric_ord", F.col("metric").alias("key"), body.alias("value")))).alias("m")
-    )
-    return per_run.select("run_id", F.concat(F.lit('{"metrics":{'), pairs(F.col("m")), F.lit("}}")).alias("input_data"))
+        F.array_sort(F.collect_list(F.struct("metric_ord", F.col("metric").alias("key"), body.alias("value")))).alias("m"),
+        F.sum(F.size("cells")).alias("_listed"),
+    ).join(cells_in, "run_id")
+    document = F.concat(F.lit('{"metrics":{'), pairs(F.col("m")), F.lit("}}"))
+    return per_run.select("run_id", document.alias("input_data"), (F.col("_cells") - F.col("_listed")).alias("omitted"))
+
+
+def _listed(stats: DataFrame, runs: DataFrame | None, most: int) -> DataFrame:
+    keys = ["run_id", "metric_ord", "metric"]
+    if runs is None:
+        return most_seen(stats, keys, most)
+    arms = runs.select("run_id", F.explode(F.concat(F.array("control"), F.col("treatments"))).alias("variant")).distinct().withColumn("_arm", F.lit(True))
+    known = stats.join(arms, ["run_id", "variant"], "left")
+    return most_seen(known, keys, most, F.coalesce("_arm", F.lit(False))).drop("_arm")
+
+
+def omitted_statistics(stats: DataFrame, runs: DataFrame | None = None, most: int = VARIANTS) -> DataFrame:
+    """The statistics that ``input_data_json`` leaves out, as rows."""
+    keys = ["run_id", "metric_ord", "metric", "variant"]
+    return stats.join(_listed(stats, runs, most).select(*keys), keys, "left_anti")
 
 
 def _quote(text: Column) -> Column:

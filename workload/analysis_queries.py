@@ -377,6 +377,18 @@ def i11(spark, d):
     return decision.data_status(s, fx.runs(spark, d)).select("run_id", "status", "analysis")
 
 
+@query("i11_failed_sources", W + """
+SELECT run_id, CASE WHEN nk % 4 = 1 THEN 'customer_source_failed' WHEN nk % 4 = 2 THEN 'no_primary_metric_rows' ELSE 'ok' END AS status,
+ CASE WHEN nk % 4 = 1 THEN 'Customer endpoint fetch failed: no reply from p|' || nk END AS reason FROM runs""")
+def i11_failed(spark, d):
+    """A customer run whose source failed ends with the reason, though live data of its flag exists; one without data ends without."""
+    nk = F.substring("run_id", 5, 2).cast("int")
+    runs = fx.raw_runs(spark, d).withColumn("data_source_mode", F.when(nk % 4 == 1, "customer-single").when(nk % 4 == 2, "customer-per-metric").otherwise("managed"))
+    failures = runs.select("run_id", F.concat(F.lit("no reply from p|"), nk.cast("string")).alias("error")).where(nk % 4 != 2)
+    _, results = analyze.analyze(fx.evaluations(spark, d), fx.metric_events(spark, d), runs, fx.AS_OF, failures=failures)
+    return results.select("run_id", "status", "reason")
+
+
 @query("i11_analyze_all_runs", W + """
 SELECT run_id, 'ok' AS status, CASE WHEN method = 'bandit' THEN 'bandit' ELSE 'bayesian' END AS analysis, false AS variants_corrected,
  CASE WHEN method = 'bandit' THEN 'bandit' ELSE 'bayesian' END AS document_type, slug FROM runs""")
@@ -469,13 +481,29 @@ def i16(spark, d):
     return decision.conversion_floor(live_stats(spark, d)).select("run_id", "metric", "variant", "k", "below_floor")
 
 
+def _past(spark, d):
+    c = bayes.comparisons(compared(spark, d)).where(F.col("error").isNull())
+    return c.join(fx.runs(spark, d).select("run_id", "experiment_id", "start_date", "end_date"), "run_id").withColumn("rel_delta", F.col("relative_change"))
+
+
+@query("i17_pilot_priors", W + "," + BAYES + f"""
+SELECT m.run_id, metric, count(*) AS past_runs, {r('avg(mu)', 5)} AS prior_mean, {r('CASE WHEN count(*) > 1 THEN stddev_samp(mu) ELSE max(hi - lo) / 3.92 END', 5)} AS prior_stddev
+FROM runs m JOIN runs p ON p.experiment_id = m.experiment_id AND p.end_date < m.start_date JOIN cmp ON cmp.run_id = p.run_id WHERE error IS NULL GROUP BY ALL""")
+def i17_pilot(spark, d):
+    """A run's prior from the earlier runs of its experiment, none of whose windows shares a day with its own."""
+    past = _past(spark, d)
+    keys = ["experiment_id", "metric"]
+    mains = fx.runs(spark, d).select("run_id", "experiment_id", "start_date").join(past.select(*keys).distinct(), "experiment_id")
+    p = decision.priors_before(past, mains, keys)
+    return p.select("run_id", "metric", "past_runs", rnd("prior_mean", 5), rnd("prior_stddev", 5))
+
+
 @query("i17_history_priors", W + "," + BAYES + f"""
 SELECT experiment_id, metric, count(*) AS past_runs, {r('avg(mu)', 5)} AS prior_mean,
  {r('CASE WHEN count(*) > 1 THEN stddev_samp(mu) ELSE max(hi - lo) / 3.92 END', 5)} AS prior_stddev
-FROM cmp JOIN runs USING (run_id) WHERE error IS NULL AND arm_idx = 1 GROUP BY ALL""")
+FROM cmp JOIN runs USING (run_id) WHERE error IS NULL GROUP BY ALL""")
 def i17(spark, d):
-    c = bayes.comparisons(compared(spark, d)).where((F.col("arm_idx") == 1) & F.col("error").isNull())
-    past = c.join(fx.runs(spark, d).select("run_id", "experiment_id"), "run_id").withColumn("rel_delta", F.col("relative_change"))
+    past = _past(spark, d)
     p = decision.priors_from_history(past, ["experiment_id", "metric"])
     return p.select("experiment_id", "metric", "past_runs", rnd("prior_mean", 5), rnd("prior_stddev", 5))
 

@@ -269,3 +269,32 @@ def d14(spark, d):
 def a6(spark, d):
     e = fx.evaluations(spark, d).select("user_key", "flag_key").distinct()
     return e.select("user_key", "flag_key", hash_bucket(F.col("user_key"), F.col("flag_key")).cast("bigint").alias("bucket"))
+
+
+ARGUMENTS = """
+WITH a AS (SELECT o_orderkey AS request, CASE WHEN k = 1 THEN '' ELSE 'env-1' END AS caller_env, CASE k WHEN 2 THEN 'env-0' WHEN 3 THEN 'env-1' ELSE '' END AS env_id,
+ CASE WHEN k = 4 THEN ' ' ELSE 'flag-b' END AS flag_key, CASE WHEN k = 5 THEN NULL ELSE o_orderpriority END AS metric_event,
+ CASE k WHEN 6 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 7 THEN '2024-02-30' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS start,
+ CASE k WHEN 8 THEN '1990-01-01' WHEN 9 THEN '' WHEN 10 THEN 'soon' ELSE strftime(o_orderdate + INTERVAL 5 DAY, '%Y-%m-%d') END AS end_,
+ CASE k WHEN 11 THEN 'numeric' ELSE 'binary' END AS metric_type, CASE k WHEN 12 THEN 'last' ELSE 'once' END AS metric_agg
+FROM (SELECT *, o_orderkey % 14 AS k FROM orders))"""
+
+
+@query("b12_argument_checks", ARGUMENTS + """
+SELECT request, CASE WHEN trim(flag_key) = '' OR coalesce(metric_event, '') = '' OR start = '' OR end_ = '' THEN 'flag_key, metric_event, start, end, metric_type, metric_agg are all required'
+ WHEN metric_type <> 'binary' THEN 'metric_type must be one of binary, continuous' WHEN metric_agg <> 'once' THEN 'metric_agg must be one of once, count, sum, average'
+ WHEN try_strptime(start, '%Y-%m-%d') IS NULL THEN 'start must be YYYY-MM-DD' WHEN try_strptime(end_, '%Y-%m-%d') IS NULL THEN 'end must be YYYY-MM-DD'
+ WHEN end_ < start THEN 'end must not be before start' WHEN caller_env = '' THEN 'env_id is required'
+ WHEN env_id <> '' AND env_id <> caller_env THEN 'requested env_id does not match the caller''s environment' END AS error FROM a""")
+def b12(spark, d):
+    """One request per order, some of them wrong in one way or another."""
+    o, k = fx.table(spark, d, "orders"), F.col("o_orderkey") % 14
+    text = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return o.select(
+        F.col("o_orderkey").alias("request"), F.when(k == 1, "").otherwise("env-1").alias("caller_env"),
+        F.when(k == 2, "env-0").when(k == 3, "env-1").otherwise("").alias("env_id"), F.when(k == 4, " ").otherwise("flag-b").alias("flag_key"),
+        F.when(k != 5, F.col("o_orderpriority")).alias("metric_event"),
+        F.when(k == 6, F.date_format("o_orderdate", "dd.MM.yyyy")).when(k == 7, "2024-02-30").otherwise(text).alias("start"),
+        F.when(k == 8, "1990-01-01").when(k == 9, "").when(k == 10, "soon").otherwise(F.date_format(F.date_add("o_orderdate", 5), "yyyy-MM-dd")).alias("end"),
+        F.when(k == 11, "numeric").otherwise("binary").alias("metric_type"), F.when(k == 12, "last").otherwise("once").alias("metric_agg"),
+    ).select("request", fl.argument_error().alias("error"))

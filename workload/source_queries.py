@@ -6,6 +6,7 @@ from liftwise.operators import attribution as at
 from liftwise.session import scratch_dir
 from liftwise.sources import payloads as pl
 from liftwise.sources import sinks, statistics, tables
+from liftwise.streaming import ingest
 from workload import fixtures as fx
 from workload.catalog import query, r, rnd, stamp
 
@@ -154,6 +155,26 @@ def a9(spark, d):
     )
 
 
+@query("a9_expired_months", W + """
+SELECT CAST(strftime(ts, '%Y%m') AS INTEGER) AS event_month, count(*) AS row_count, min(CAST(ts AS DATE))::VARCHAR AS first_day, true AS gone, true AS undisturbed
+FROM mevents WHERE CAST(ts AS DATE) + 365 > DATE '2000-06-15' GROUP BY 1""")
+def a9_expired(spark, d):
+    """Whole months expire from the table; a reader that began before sees all rows, and files go once it may be done."""
+    landed = ingest.landed_events(spark, scratch_dir(spark, "expiry"))
+    events = fx.metric_events(spark, d)
+    ingest.land(events, 0, landed)
+    before = landed.rows.read()
+    first = ingest.expire(landed, "2000-06-15")
+    kept_files = landed.rows.vacuum(keep_versions=2)
+    undisturbed = not kept_files and before.count() == events.count()
+    removed = landed.rows.vacuum(keep_versions=1)
+    gone = all(int(m[-6:]) < first for m in removed if "event_month=" in m) and (bool(removed) or landed.rows.read().count() == events.count())
+    rows = tables.retained(landed.rows.read(), "2000-06-15")
+    return rows.groupBy("event_month").agg(F.count("*").alias("row_count"), F.date_format(F.min("timestamp"), "yyyy-MM-dd").alias("first_day")).withColumns(
+        {"gone": F.lit(gone), "undisturbed": F.lit(undisturbed)}
+    )
+
+
 @query("a10_ingest_counts", EV + """
 SELECT batch_id, CASE state WHEN 'good' THEN count(*) ELSE 0 END AS payloads,
  CASE state WHEN 'good' THEN count(*) FILTER (event_type = 'view') ELSE 0 END AS evaluations,
@@ -298,15 +319,34 @@ def a15(spark, d):
 
 
 @query("a16_result_sink", W + """
-SELECT run_id, count(*) AS stat_rows, sum(users)::DOUBLE AS users FROM vs GROUP BY 1""")
+SELECT run_id, count(*) AS stat_rows, sum(users)::DOUBLE AS users, round(sum(CASE WHEN metric_type = 'binary' THEN conversions ELSE sum_val END), 1) AS total,
+ 0::BIGINT AS omitted FROM vs GROUP BY 1""")
 def a16(spark, d):
     path = scratch_dir(spark, "results") + "/input_data"
     stats = live_stats(spark, d)
     first = sinks.input_data_json(stats.withColumn("n", F.lit(0.0)))
     sinks.write_results(first.where(F.substring("run_id", 5, 2).cast("int") % 2 == 0), path)
     sinks.write_results(sinks.input_data_json(stats), path)
-    back = statistics.stored_statistics(spark.read.parquet(path))
-    return back.groupBy("run_id").agg(F.count("*").alias("stat_rows"), F.sum("n").alias("users"))
+    stored = spark.read.parquet(path)
+    back = statistics.stored_statistics(stored)
+    totals = back.groupBy("run_id").agg(
+        F.count("*").alias("stat_rows"), F.sum("n").alias("users"), F.round(F.sum(F.coalesce("k", "sum")), 1).alias("total")
+    )
+    return totals.join(stored.select("run_id", "omitted"), "run_id")
+
+
+@query("a16_bounded_documents", W + """, o AS (
+SELECT *, row_number() OVER (PARTITION BY run_id, metric_ord ORDER BY users DESC, variant) AS place, count(*) OVER (PARTITION BY run_id) AS cells FROM vs)
+SELECT run_id, string_agg(metric || '/' || variant, ',' ORDER BY metric, variant) AS listed, max(cells) - count(*) AS omitted FROM o WHERE place <= 2 GROUP BY 1""")
+def a16_bounded(spark, d):
+    """Of every metric the two variants with most users, and how many cells are left out, which are kept as rows."""
+    stats = live_stats(spark, d)
+    documents = sinks.input_data_json(stats, most=2)
+    cells = statistics.stored_statistics(documents).groupBy("run_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat("metric", F.lit("/"), "variant"))), ",").alias("listed")
+    )
+    rest = sinks.omitted_statistics(stats, most=2).groupBy("run_id").agg(F.count("*").alias("omitted"))
+    return cells.join(rest, "run_id")
 
 
 @query("a17_csv_exports", W + """
