@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,20 +97,22 @@ _UNSPACED = (
 )
 
 
-@cache
-def _code_points() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: 0 between words, 1 inside one, 2 a word of its own; and its value in hashes, that of its lower case."""
-    sort, lower = np.zeros(0x110000, np.int8), np.arange(0x110000)
+CodePoints = tuple[np.ndarray, np.ndarray]
+
+
+def code_points() -> CodePoints:
+    """By code point: 0 between words, 1 inside one, 2 a word of its own; and its lower case. Made once, on the driver."""
+    sort, lower = np.zeros(0x110000, np.int8), np.arange(0x110000, dtype=np.int32)
     for c in range(0x40000):
         sort[c] = unicodedata.category(chr(c))[0] in "LMN"
         low = next((x for x in (chr(c).casefold(), chr(c).lower()) if len(x) == 1), chr(c))
         lower[c] = ord(low)
     for first, last in _UNSPACED:
         sort[first : last + 1] *= 2
-    return sort, seeds(0x110000, 103)[lower]
+    return sort, lower
 
 
-def plain_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
+def plain_words(block: Block, points: CodePoints) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased words of a block as they stand: hash, and the text each is of. In scripts without blanks each letter is one."""
     data, n = block.data, len(block.data)
     if not n:
@@ -126,7 +127,7 @@ def plain_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
         for k in range(1, more + 1):
             value = (value << 6) | (data[np.minimum(at[wide] + k, n - 1)] & 0x3F)
         point[wide] = np.minimum(value, 0x10FFFF)
-    sorts, table = _code_points()
+    sorts, table = points
     sort = sorts[point]
     if len(point) > 2:
         digit = (point >= 48) & (point <= 57)
@@ -166,14 +167,15 @@ def _slots(value: np.ndarray, kind: np.ndarray, start: int, length: int) -> list
     return value[part][kind[part] != _LITERAL].view(np.int64).tolist()
 
 
-def _item_rows(window: int):
+def _item_rows(window: int, points: CodePoints):
     """Arrow task: (item, key, text) to the distinct windows of every item, template and exact ones, the first of equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = points[0], seeds(len(points[1]), 103)[points[1]]
         for batch in batches:
             for block in blocks(batch.column("text")):
                 token, value, kind, text = template(block)
-                plain, of = plain_words(block)
+                plain, of = plain_words(block, values)
                 ends, plain_ends = np.searchsorted(text, np.arange(block.rows + 1)), np.searchsorted(of, np.arange(block.rows + 1))
                 out = {"row": [], "exact": [], "ipos": [], "length": [], "hash": [], "islots": [], "need": []}
                 for i in range(block.rows):
@@ -199,10 +201,11 @@ def _item_rows(window: int):
     return run
 
 
-def _document_rows(lengths: list[tuple[bool, int]], buckets: np.ndarray):
+def _document_rows(lengths: list[tuple[bool, int]], buckets: np.ndarray, points: CodePoints):
     """Arrow task: (h1, h2, text) to the windows whose bucket some item has; an exact one once per text, at no place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = points[0], seeds(len(points[1]), 103)[points[1]]
         wanted = np.unpackbits(buckets).astype(bool)
 
         def kept(starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +225,7 @@ def _document_rows(lengths: list[tuple[bool, int]], buckets: np.ndarray):
                     own = text[starts]
                     slots = [_slots(value, kind, s, length) for s in starts.tolist()]
                     yield rows_of(batch, own + block.first, starts - np.searchsorted(text, own), hashes, slots)
-                plain, text = plain_words(block)
+                plain, text = plain_words(block, values)
                 for length in [n for exact, n in lengths if exact]:
                     starts, hashes = kept(*_windows(plain, text, length, _EXACT_SALT))
                     order = np.lexsort((hashes, text[starts]))
@@ -261,7 +264,8 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     source = items.select(F.col(item_id).alias("item"), F.xxhash64(item_text).alias("key"), F.col(item_text).alias("text"))
     kind = items.schema[item_id].dataType.simpleString()
-    known = source.mapInArrow(_item_rows(window), f"item {kind}, key long, exact boolean, ipos int, length int, hash long, islots array<long>, need int")
+    points = code_points()
+    known = source.mapInArrow(_item_rows(window, points), f"item {kind}, key long, exact boolean, ipos int, length int, hash long, islots array<long>, need int")
     known = materialize(known.dropDuplicates(["item", "key", "exact", "ipos"]), "item-windows")
     lengths = sorted((r["exact"], r["length"]) for r in known.select("exact", "length").distinct().collect())
     if not lengths:
@@ -271,7 +275,7 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
     h1, h2 = text_key(F.col(text_col))
     texts = docs.select(h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
-    seen = texts.mapInArrow(_document_rows(lengths, np.packbits(buckets)), "h1 long, h2 long, dpos int, hash long, dslots array<long>")
+    seen = texts.mapInArrow(_document_rows(lengths, np.packbits(buckets), points), "h1 long, h2 long, dpos int, hash long, dslots array<long>")
     met = seen.join(known.select("item", "key", "exact", "ipos", "hash", "islots", "need"), "hash")
     met = met.withColumn("shift", F.when(~F.col("exact"), F.col("dpos") - F.col("ipos")))
     met = met.dropDuplicates(["h1", "h2", "item", "key", "exact", "ipos", "shift"])

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2_000_000
+#: Some dozen eight-byte values are held per byte of a block, so this times a hundred is what a task needs beside its batch.
+BLOCK_BYTES = 500_000
 
 
 @dataclass
@@ -32,12 +33,16 @@ class Block:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a string column into blocks of about ``size`` bytes; a longer text is a block of its own. Null reads as empty."""
+def blocks(column: pa.Array, size: int = BLOCK_BYTES, beside: pa.Array | None = None) -> Iterator[Block]:
+    """Cut a string column into blocks of about ``size`` bytes; a longer text is a block of its own. Null reads as empty.
+
+    With a column ``beside`` it, the same rows of that have at most ``size`` bytes too.
+    """
     data, offsets = _views(column)
+    bounds = [offsets] if beside is None else [offsets, _views(beside)[1]]
     first = 0
     while first < len(column):
-        last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
+        last = min(int(np.searchsorted(b, b[first] + size, side="right")) - 1 for b in bounds)
         last = min(max(last, first + 1), len(column))
         yield _block(data, offsets, first, last)
         first = last

@@ -59,4 +59,4 @@ def test_rules_may_be_others(spark):
 
 def test_automaton_is_minimal():
     """Two spellings of one language have equally many states, and no two states of a rule act alike."""
-    assert compile_patterns(["[0-9a-f]{16,}"]).step.shape == compile_patterns(["[0-9a-f]{15}([0-9]|[a-f])+"]).step.shape
+    assert len(compile_patterns(["[0-9a-f]{16,}"]).step) == len(compile_patterns(["[0-9a-f]{15}([0-9]|[a-f])+"]).step)

@@ -1,3 +1,5 @@
+import time
+
 import regex
 
 from liftwise.llm.surrogates import PATTERN, _core, _replacement, assign_surrogates, replace_entities
@@ -91,3 +93,15 @@ def test_rooms_that_are_too_small_widen(spark):
     longer = [("+12345", "phone", "678901"), ("+1 (017) 555-7713", "phone", "98765432101"), ("123-45-6789", "ssn", "9876543210"), ("DE12 3456 7890", "iban", "DE9876543210Z")]
     shown = [r[0] for r in spark.createDataFrame([(*v, None) for v in longer], "value string, kind string, core1 string, core2 string").select(_replacement()).collect()]
     assert shown == ["+678901", "+1 (987) 654-32101", "987-65-43210", "DE98 7654 3210Z"]
+
+
+def test_long_runs_of_marks_and_a_column_named_new(spark):
+    runs = [mark * 200_000 + " ann.lee@site.org" for mark in "._%+-"] + ["a." * 100_000, "@" * 200_000, "555-123-4567.a@b.co", "+" * 3 + "x_y@mail.example.com"]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string").selectExpr("*", "doc_id as new", "text as h1")
+    start = time.time()
+    got = {r.doc_id: r for r in replace_entities(docs, "k", count_col="n").collect()}
+    assert time.time() - start < 60
+    assert [got[i].n for i in range(9)] == [1] * 5 + [0, 0, 1, 1]
+    for i in range(5):
+        assert got[i].text[:200_000] == runs[i][:200_000] and "ann.lee" not in got[i].text and got[i].new == i
+    assert "a@b.co" not in got[7].text and "4567" not in got[7].text
