@@ -7,6 +7,7 @@ columns beside doc_id, text and lang are passed on.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +30,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.toDF(*names)
 
 
+#: Up to so many rows to drop, of two longs each, are broadcast to the documents; beyond, documents are shuffled.
+DROPPED_ROWS = 2_000_000
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep, of each group of near-duplicate texts, the document with the smallest id.
+    """Keep, of each group of near-duplicate texts, one row: that with the smallest id, no id last, ties by its place in its file.
 
-    Documents without words, which link with nothing, all stay; so do those of groups without any id.
+    Rows are told apart by file and place, so null, repeated and shared ids need
+    no care: a row goes only if a row of its own group stays. Documents without
+    words, which link with nothing, all stay. What is dropped is a list of
+    places, so texts don't move to be filtered.
     """
-    found = near_text_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.join(found, docs["doc_id"] == found["dropped"], "left_anti")
+    stored = docs if _in_files(docs) else materialize(docs, "documents")
+    meta = stored.metadataColumn("_metadata")
+    place = [F.xxhash64(meta["file_path"]).alias("_file"), meta["row_index"].alias("_place")]
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), *place)
+    found = near_text_components(stored.select(key.alias("key"), "text"), id_col="key").where("component_id <> key")
+    dropped = materialize(found.select("key._file", "key._place"), "dropped-rows")
+    gone = F.broadcast(dropped) if dropped.count() <= DROPPED_ROWS else dropped
+    gone = gone.toDF("_gone_file", "_gone_place")
+    return stored.join(gone, (place[0] == gone["_gone_file"]) & (place[1] == gone["_gone_place"]), "left_anti")
+
+
+def _in_files(docs: DataFrame) -> bool:
+    """Whether rows still have their place in a file."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return False
+    return True
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
