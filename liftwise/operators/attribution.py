@@ -219,7 +219,9 @@ def attributed_events(events: DataFrame, exposures: DataFrame, design: Design) -
     """Events at or after their user's first exposure, inside the run's window, one row per metric.
 
     Events no run asks for are dropped before the shuffle, as are all columns
-    but five.
+    but five. Exposures meet their run's metrics first, so an event is compared
+    only with the runs that ask for its name, and the event name spreads a
+    user's events over tasks.
     """
     wanted = design.metrics.select("env_id", "event_name")
     found = _scan(events, design).select(
@@ -229,14 +231,12 @@ def attributed_events(events: DataFrame, exposures: DataFrame, design: Design) -
     )
     found = found.join(wanted, ["env_id", "event_name"], "left_semi")
     ends = design.runs.select("run_id", "until_ts")  # the exposure bounds the other side
-    spec = design.metrics.select("run_id", "event_name", "metric_ord", "metric_agg")
+    spec = design.metrics.select("run_id", "event_name", "metric_ord", "metric_agg").join(ends, "run_id")
     return (
-        exposures.join(found, ["env_id", "user_key"])
-        .where(F.col("event_ts") >= F.col("exposure_ts"))
-        .join(ends, "run_id")
-        .where(F.col("event_ts") < F.col("until_ts"))
+        exposures.join(spec, "run_id")
+        .join(found, ["env_id", "user_key", "event_name"])
+        .where((F.col("event_ts") >= F.col("exposure_ts")) & (F.col("event_ts") < F.col("until_ts")))
         .drop("until_ts")
-        .join(spec, ["run_id", "event_name"])
     )
 
 

@@ -53,7 +53,7 @@ UNION ALL SELECT 'rejected', count(DISTINCT batch_id), 0, 0, true FROM ev WHERE
 def j1(spark, d):
     """Many small batches end in few parts, and every body in one table."""
     path = scratch_dir(spark, "ingest")
-    payload_batches(spark, d).select("env_id", "body").repartition(9).write.json(f"{path}/in")
+    payload_batches(spark, d).select("env_id", "body").repartition(5).write.json(f"{path}/in")
     for _ in range(2):  # the second run finds nothing new
         _finish(ingest.start_ingest(ingest.read_batches(spark, f"{path}/in", 1), f"{path}/out", f"{path}/check", available_now=True))
     landed = {"flag_evaluations": ingest.landed_evaluations(spark, f"{path}/out").rows, "metric_events": ingest.landed_events(spark, f"{path}/out").rows}
