@@ -298,3 +298,24 @@ def b12(spark, d):
         F.when(k == 8, "1990-01-01").when(k == 9, "").when(k == 10, "soon").otherwise(F.date_format(F.date_add("o_orderdate", 5), "yyyy-MM-dd")).alias("end"),
         F.when(k == 11, "numeric").otherwise("binary").alias("metric_type"), F.when(k == 12, "last").otherwise("once").alias("metric_agg"),
     ).select("request", fl.argument_error().alias("error"))
+
+
+@query("d4_growing_runs", W + """,
+gr AS (SELECT 's-' || CAST(s_suppkey AS VARCHAR) AS run_id, DATE '1995-01-01' + CAST(s_suppkey * 37 % 2000 AS INTEGER) AS a, DATE '1995-01-01' + CAST(s_suppkey * 37 % 2000 AS INTEGER) + 60 AS b FROM supplier),
+gf AS (SELECT run_id, a, b, user_key, min({'ts': ts, 'variant': variant}) AS f FROM evals JOIN gr ON env_id = 'env-1' AND CAST(ts AS DATE) BETWEEN a AND b GROUP BY ALL),
+gu AS (SELECT run_id, gf.user_key, count(*) AS c FROM gf JOIN mevents m ON m.env_id = 'env-1' AND m.user_key = gf.user_key AND event_name = '1-URGENT'
+  AND CAST(m.ts AS DATE) BETWEEN a AND b AND m.ts >= gf.f.ts GROUP BY ALL)
+SELECT run_id, f.variant AS variant, count(*) AS users, count(c) AS conversions, coalesce(sum(c), 0)::DOUBLE AS sum_val FROM gf LEFT JOIN gu USING (run_id, user_key) GROUP BY ALL""")
+def d4_growing(spark, d):
+    """A run per supplier: the run side grows with the tables."""
+    start = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("s_suppkey") * 37 % 2000).cast("int"))
+    runs = fx.table(spark, d, "supplier").select(
+        F.concat(F.lit("s-"), F.col("s_suppkey").cast("string")).alias("run_id"), F.lit("env-1").alias("env_id"), F.lit("flag-b").alias("flag_key"),
+        start.alias("start_date"), F.date_add(start, 60).alias("end_date"),
+    )
+    specs = runs.select(
+        "run_id", "env_id", F.lit(0).alias("metric_ord"), F.lit("primary").alias("role"), F.lit("1-URGENT").alias("event_name"),
+        F.lit("continuous").alias("metric_type"), F.lit("count").alias("metric_agg"), F.lit(False).alias("inverse"),
+    )
+    v = at.variant_stats(fx.evaluations(spark, d), fx.metric_events(spark, d), at.load_design(runs, specs))
+    return v.select("run_id", "variant", "users", "conversions", "sum_val")
