@@ -3,9 +3,9 @@
 A part is a folder of files under ``data``; a manifest version is a small file
 that lists the live parts. Writing a part changes nothing for readers. It
 becomes visible, or several small ones are replaced by a merged one, when the
-next version of the manifest appears, one file, put in place by the commit of
-a one-task job. So a reader sees the parts of one version, never both old and
-merged ones, and a crash before that moment leaves the table as it was.
+next version of the manifest appears, one file, put in place by a rename. So a
+reader sees the parts of one version, never both old and merged ones, and a
+crash before that moment leaves the table as it was.
 
 Parts are labelled with the range of batches they hold. A batch that is
 replayed after it became visible is skipped; one that was only half written is
@@ -18,8 +18,9 @@ One writer at a time: merge and expire between batches, in the same query.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,6 @@ from pyspark.sql import types as T
 
 FAN_IN = 16
 
-_MANIFEST = "version bigint, part string, level int, first bigint, last bigint, latest bigint, first_month int"
-
 Merge = Callable[[DataFrame], DataFrame]
 
 
@@ -55,15 +54,8 @@ class Generations:
 
     def manifest(self) -> tuple[int, list[Part], int | None]:
         """(version, live parts in batch order, first month that is kept). Parts are few: a fan-in per level."""
-        if not self._exists(f"{self.path}/manifest"):
-            return 0, [], None
-        rows = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest/*.json")
-        last = rows.agg(F.max("version")).first()[0]
-        if last is None:
-            return 0, [], None
-        found = rows.where(F.col("version") == last).collect()
-        parts = sorted((Part(r.part, r.level, r.first, r.last, r.latest) for r in found if r.part), key=lambda p: p.first)
-        return last, parts, found[0].first_month
+        version = max(self._versions(), default=0)
+        return (version, *self._version(version)) if version else (0, [], None)
 
     def read(self, before: int | None = None, after: int | None = None) -> DataFrame:
         """Rows of the live parts; of batches below ``before``, or of parts that reach beyond batch ``after``."""
@@ -136,11 +128,11 @@ class Generations:
         A reader that started on one of those versions is unharmed. Returns the
         folders that were removed.
         """
-        version = self.manifest()[0]
-        rows = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest/*.json")
-        kept = rows.where(F.col("version") > version - keep_versions).select("version", "part", "first_month").collect()
-        live, months = {r.part for r in kept}, [r.first_month for r in kept]
-        oldest = None if any(m is None for m in months) else min(months, default=None)
+        versions = self._versions()
+        version = max(versions, default=0)
+        kept = [self._version(v) for v in versions if v > version - keep_versions]
+        live, months = {p.part for parts, _ in kept for p in parts}, [first for _, first in kept]
+        oldest = None if None in months else min(months, default=None)
         removed = []
         for part in self._names("data"):
             if part.removeprefix("part=") not in live:
@@ -148,7 +140,7 @@ class Generations:
             elif oldest is not None:
                 folders = self._names(f"data/{part}")
                 removed += [f"data/{part}/{m}" for m in folders if m[12:].isdigit() and int(m[12:]) < oldest]
-        removed += [f"manifest/{m}" for m in self._names("manifest") if int(m[:-5]) <= version - keep_versions]
+        removed += [f"manifest/{v}.json" for v in versions if v <= version - keep_versions]
         for name in removed:
             self._fs(f"{self.path}/{name}")[0].delete(self._fs(f"{self.path}/{name}")[1], True)
         return removed
@@ -168,16 +160,27 @@ class Generations:
         writer = rows.select(*self._stored().names).write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy("event_month") if self.month else writer).parquet(f"{self.path}/data/part={name}")
 
+    def _versions(self) -> list[int]:
+        return sorted(int(name[:-5]) for name in self._names("manifest"))
+
+    def _version(self, version: int) -> tuple[list[Part], int | None]:
+        fs, where = self._fs(f"{self.path}/manifest/{version}.json")
+        stream = fs.open(where)
+        try:
+            held = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return sorted((Part(**p) for p in held["parts"]), key=lambda p: p.first), held["first_month"]
+
     def _commit(self, version: int, parts: list[Part], first_month: int | None) -> None:
-        listed = [(version, p.part, p.level, p.first, p.last, p.latest, first_month) for p in parts]
-        rows = self.spark.createDataFrame(listed, _MANIFEST).coalesce(1)
-        fresh = f"{self.path}/pending/{version}"
-        rows.write.mode("overwrite").json(fresh)
-        fs, folder = self._fs(fresh)
-        written = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json"))
+        fs, fresh = self._fs(f"{self.path}/pending/{version}.json")
         target = self._fs(f"{self.path}/manifest/{version}.json")[1]
+        body = json.dumps({"parts": [asdict(p) for p in parts], "first_month": first_month})
+        stream = fs.create(fresh, True)
+        stream.write(body.encode())
+        stream.close()
         fs.mkdirs(target.getParent())
-        if not fs.rename(written, target):
+        if fs.exists(target) or not fs.rename(fresh, target):
             raise RuntimeError(f"version {version} of {self.path} exists; is there a second writer?")
 
     def _fs(self, path: str):
