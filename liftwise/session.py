@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,12 +62,36 @@ def scratch_dir(spark: SparkSession, prefix: str) -> str:
     return tempfile.mkdtemp(prefix=f"{prefix}-")
 
 
+#: Drops a query's shuffle files when the query ends, where Spark has that setting.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, prefix: str = "liftwise") -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, so that several
-    results can be derived from one attribution pass.
+    results can be derived from one attribution pass. Shuffle files of the
+    write go when it ends, as nothing but the table is read after it.
     """
-    path = scratch_dir(df.sparkSession, prefix) + "/table"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    folder = scratch_dir(spark, prefix)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(f"{folder}/table")
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(f"{folder}/table")
+    _FOLDERS[table] = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and nothing will read again. Other frames are left alone."""
+    for table in tables:
+        folder = _FOLDERS.pop(table, None)
+        if folder is not None:
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
