@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftwise.llm.textblocks import Block, blocks, byte_table, hash_spans, mix, seeds, words
-from liftwise.session import materialize
+from liftwise.session import discard, materialize
 
 WINDOW = 8
 LEAST_LITERALS = 5
 LEAST_WINDOWS = 6
 FILTER_BITS = 22
+#: Up to so many keys of texts that give items away, of two longs each, are broadcast to the documents; beyond, documents are shuffled.
+LEAKY_TEXTS = 2_000_000
 
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fifteen twenty thirty forty fifty hundred thousand million"
 UNIT_WORDS = (
@@ -279,10 +281,10 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text_col: str = "text",
     met = seen.join(known.select("item", "key", "exact", "ipos", "hash", "islots", "need"), "hash")
     met = met.withColumn("shift", F.when(~F.col("exact"), F.col("dpos") - F.col("ipos")))
     met = met.dropDuplicates(["h1", "h2", "item", "key", "exact", "ipos", "shift"])
-    met = materialize(met.drop("hash", "dpos"), "window-matches")
+    matches = materialize(met.drop("hash", "dpos"), "window-matches")
 
     # a window whose values are the item's own needs no mapping; among the others, one item value has one document value
-    met = met.withColumn("verbatim", F.col("islots") == F.col("dslots"))
+    met = matches.withColumn("verbatim", F.col("islots") == F.col("dslots"))
     where = ["h1", "h2", "item", "key", "shift"]
     other = met.where("not verbatim")
     slots = other.select(*where, "ipos", F.explode(F.arrays_zip("islots", "dslots")).alias("s")).select(*where, "ipos", F.col("s.islots").alias("own"), F.col("s.dslots").alias("new"))
@@ -292,7 +294,10 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, text_col: str = "text",
     dropped = dropped.select(*[F.col(c).alias(f"x_{c}") for c in (*where, "ipos")]).distinct()
     sound = other.join(dropped, [other[c].eqNullSafe(dropped[f"x_{c}"]) for c in (*where, "ipos")], "left_anti").unionAll(met.where("verbatim"))
     counts = sound.groupBy("h1", "h2", "item", "key", "exact", "need").agg(F.countDistinct("ipos").alias("n_windows"))
-    return counts.where("n_windows >= need").groupBy("h1", "h2", "item").agg(F.max("n_windows").alias("n_windows"))
+    found = counts.where("n_windows >= need").groupBy("h1", "h2", "item").agg(F.max("n_windows").alias("n_windows"))
+    found = materialize(found, "leaks")
+    discard(known, matches)
+    return found
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -307,5 +312,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that give no item away."""
     found = benchmark_matches(docs, items, text_col, **options).select("h1", "h2").distinct()
+    gone = (F.broadcast(found) if found.count() <= LEAKY_TEXTS else found).toDF("_leak_h1", "_leak_h2")
     h1, h2 = text_key(docs[text_col])
-    return docs.join(found, (h1 == found["h1"]) & (h2 == found["h2"]), "left_anti")
+    return docs.join(gone, (h1 == gone["_leak_h1"]) & (h2 == gone["_leak_h2"]), "left_anti")

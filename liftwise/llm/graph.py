@@ -2,7 +2,8 @@
 
 Every round is a few aggregates and joins over the links; hubs are aggregated
 map-side and their joins are split by adaptive execution. Rounds are written
-as tables in the shared scratch folder, so a lost executor costs one round.
+as tables in the shared scratch folder, so a lost executor costs one round; a
+round's table goes when the next one is written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftwise.session import materialize
+from liftwise.session import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +34,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        before, edges = edges, materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        discard(before)
         last, state = state, _state(edges)
         if state == last:
             break
