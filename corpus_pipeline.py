@@ -17,7 +17,7 @@ from liftwise.llm.near_text import near_text_components
 from liftwise.llm.pieces import encode_pieces, load_vocabulary
 from liftwise.llm.queries import SURROGATE_KEY, piece_model
 from liftwise.llm.surrogates import replace_entities
-from liftwise.session import materialize
+from liftwise.session import discard, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -93,5 +93,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
