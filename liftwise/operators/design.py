@@ -276,10 +276,13 @@ def _starts_within(points: DataFrame, windows: DataFrame, key: str) -> DataFrame
     A day is in exactly one of the dyadic spans that make up a window, so every
     pair is made once, and rows that share no day never meet. A window is
     joined under some 2 log(days) spans, a point under one span a level.
+
+    Both sides are shuffled: Spark's size estimates come from the files and
+    don't see that spans multiply rows, so it would broadcast a whole table of them.
     """
     held = points.withColumn("_s", F.explode(_spans_over(_day_number(F.col("_at"))))).select("*", "_s.level", "_s.span").drop("_s")
     open_ = windows.withColumn("_s", F.explode(_spans_of(_day_number(F.col("_from")), _day_number(F.col("_to"))))).select("*", "_s.level", "_s.span").drop("_s")
-    return held.join(open_, [key, "level", "span"]).drop("level", "span")
+    return held.hint("merge").join(open_, [key, "level", "span"]).drop("level", "span")
 
 
 def overlaps_of(runs: DataFrame, focus: DataFrame, experiments: DataFrame | None = None) -> DataFrame:
@@ -288,7 +291,8 @@ def overlaps_of(runs: DataFrame, focus: DataFrame, experiments: DataFrame | None
     Two windows overlap when one starts within the other: theirs within mine, or
     mine within theirs after its start. Both are joins of starts with windows
     over dyadic spans of days, so work follows the pairs that are returned, not
-    the runs that share a flag. ``overlap_counts`` serves all without pairs.
+    the runs that share a flag; runs of flags that nobody asked for leave first.
+    ``overlap_counts`` serves all without pairs.
     """
     windows = _windows(runs)
     asked = focus.select("experiment_id").distinct()
@@ -297,6 +301,7 @@ def overlaps_of(runs: DataFrame, focus: DataFrame, experiments: DataFrame | None
         F.col("from_ts").alias("_a"), F.col("to_ts").alias("_b"),
     )
     theirs = _active(windows, experiments).select("run_id", "experiment_id", "flag_key", "from_ts", "to_ts")
+    theirs = theirs.join(mine.select("flag_key").distinct(), "flag_key", "left_semi")
     inside = _starts_within(theirs.withColumn("_at", F.col("from_ts")), mine.withColumns({"_from": F.col("_a"), "_to": F.col("_b")}), "flag_key")
     inside = inside.where(F.col("from_ts") >= F.col("_a"))
     around = _starts_within(mine.withColumn("_at", F.col("_a")), theirs.withColumns({"_from": F.col("from_ts"), "_to": F.col("to_ts")}), "flag_key")

@@ -35,6 +35,18 @@ def test_pairs_made_follow_pairs_returned(spark):
     assert made.count() <= 3 * 10_000
 
 
+def test_rows_under_spans_are_not_broadcast(spark):
+    """A table small enough for a broadcast is not, once every row is there under each of its spans."""
+    rows = spark.range(1_000).select(F.col("id").alias("run_id"), F.col("id").alias("experiment_id"), F.concat(F.lit("f"), F.col("id") % 2).alias("flag_key"), F.lit("draft").alias("status"),
+                                     F.timestamp_seconds(F.col("id") * 86_400).alias("observation_start"), F.timestamp_seconds(F.col("id") * 86_400 + 7).alias("observation_end"))
+    found = design.overlaps_of(rows, rows.where("run_id < 3").select("experiment_id"))
+    plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    joins = [line for line in plan if "Join" in line and "span#" in line]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
+    assert sum("LeftSemi" in line and "flag_key#" in line for line in plan) == 2
+    assert found.count() == 0
+
+
 def test_many_strays_give_a_bounded_row(spark):
     configured = runs(spark, [{"run_id": "r", "control_variant": "a", "treatment_variant": "b"}])
     strays = spark.range(200_000).select(F.lit("r").alias("run_id"), F.lit(0).alias("metric_ord"), F.lit("m").alias("metric"), F.lit("primary").alias("role"), F.lit(False).alias("inverse"),
