@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from liftwise.schemas import CUSTOMER_MODES, METRIC_AGGS, METRIC_TYPES
+from liftwise.session import materialize
 
 _DOCUMENT = (
     T.StructType()
@@ -28,6 +29,7 @@ _BLOCK = (
     .add("data", T.MapType(T.StringType(), T.StringType()))
 )
 _VALUES = T.MapType(T.StringType(), T.StringType())
+_FIELDS = ("n", "k", "mean", "stddev", "sum", "sum_squares")
 
 _LONG = (
     "run_id", "metric_ord", "metric", "variant", "inverse", "n", "k", "sum", "sum_squares", "mean", "variance",
@@ -38,17 +40,22 @@ def _is_object(text: Column) -> Column:
     return F.coalesce(F.ltrim(text).startswith("{"), F.lit(False))
 
 
-def _quoted(parent: Column, field: str) -> Column:
-    """Whether a top-level field of a JSON object is written as a string; fields of the same name deeper inside don't count."""
-    value = F.try_variant_get(F.try_parse_json(parent), f"$.{field}", "variant")
+def _quoted(parsed: Column, field: str) -> Column:
+    """Whether a top-level field of a JSON object, as a variant, is written as a string; fields of the same name deeper inside don't count."""
+    value = F.try_variant_get(parsed, f"$.{field}", "variant")
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
-def _number(values: Column, raw: Column, field: str) -> Column:
+def _number(values: Column, parsed: Column, field: str) -> Column:
     """A finite JSON number, or null when absent, quoted, or not a number."""
-    parsed = values[field].try_cast("double")
-    finite = ~F.isnan(parsed) & (F.abs(parsed) != float("inf"))
-    return F.when(finite & ~_quoted(raw, field), parsed)
+    number = values[field].try_cast("double")
+    finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
+    return F.when(finite & ~_quoted(parsed, field), number)
+
+
+def _spread(documents: DataFrame) -> DataFrame:
+    """Documents dealt out evenly: a small file is one task's, but its texts can take long to parse."""
+    return documents.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -64,14 +71,18 @@ def normalise_documents(documents: DataFrame) -> DataFrame:
     ``documents`` needs run_id and body. Each row carries ``error``: null, or the
     first rule it breaks with the path of the field. A document whose own header
     is broken gives one row without a metric.
+
+    Every text is parsed once as a map and once as a variant, which tells how a
+    value is written. The result is written as a table: readers select by
+    ``error``, more than once, and Spark would parse anew inside each filter.
     """
-    doc = documents.withColumn("_d", F.from_json(F.when(_is_object(F.col("body")), F.col("body")), _DOCUMENT))
+    doc = _spread(documents.select("run_id", "body")).withColumn("_d", F.from_json(F.when(_is_object(F.col("body")), F.col("body")), _DOCUMENT))
     version = F.col("_d.schemaVersion")
     doc = doc.withColumn(
         "_e",
         F.when(F.col("_d").isNull(), F.lit("response is not a JSON object"))
         .when(
-            (version != "1") | version.isNull() | _quoted(F.col("body"), "schemaVersion"),
+            (version != "1") | version.isNull() | _quoted(F.try_parse_json("body"), "schemaVersion"),
             F.concat(F.lit("unsupported schemaVersion: "), F.coalesce(version, F.lit("undefined"))),
         )
         .when(F.col("_d.experimentId").isNull(), F.lit("experimentId missing"))
@@ -100,12 +111,13 @@ def normalise_documents(documents: DataFrame) -> DataFrame:
     cell = doc.select(
         "run_id", "metric_ord", "metric", "_e", F.col("_b.type").alias("metric_type"),
         F.col("_b.agg").alias("metric_agg"), F.explode_outer(data).alias("variant", "_raw"),
-    ).withColumn("_v", F.from_json(F.when(_is_object(F.col("_raw")), F.col("_raw")), _VALUES))
+    ).withColumns({"_v": F.from_json(F.when(_is_object(F.col("_raw")), F.col("_raw")), _VALUES), "_j": F.try_parse_json("_raw")})
+    cell = cell.withColumns({f"_{field}": _number(F.col("_v"), F.col("_j"), field) for field in _FIELDS})
 
     path = F.concat(F.lit('metrics["'), F.col("metric"), F.lit('"].data["'), F.col("variant"), F.lit('"]'))
 
     def value(field: str) -> Column:
-        return _number(F.col("_v"), F.col("_raw"), field)
+        return F.col(f"_{field}")
 
     def has(field: str) -> Column:
         return F.coalesce(F.array_contains(F.map_keys("_v"), field), F.lit(False))
@@ -138,7 +150,7 @@ def normalise_documents(documents: DataFrame) -> DataFrame:
     ).otherwise(F.lit(0.0))
     none = F.lit(None).cast("double")
     good = F.col("error").isNull() & F.col("variant").isNotNull()
-    return cell.withColumn("error", error).select(
+    laid_out = cell.withColumn("error", error).select(
         "run_id", "metric_ord", "metric", "metric_type", "metric_agg", "variant",
         F.lit(None).cast("boolean").alias("inverse"),
         F.when(good, n).alias("n"),
@@ -148,6 +160,7 @@ def normalise_documents(documents: DataFrame) -> DataFrame:
         F.when(good & by_mean, value("stddev") * value("stddev")).when(good & by_sum, spread).alias("variance"),
         "error",
     )
+    return materialize(laid_out, "documents")
 
 
 def split_documents(normalised: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -51,6 +51,17 @@ def test_documents(spark):
         assert text in errors[name], name
 
 
+def test_documents_of_one_file_are_parsed_by_many_tasks(spark):
+    rows = [(str(i), document("binary", "once", {"c": {"n": i, "k": 1}})) for i in range(400)]
+    docs = spark.createDataFrame(rows, "run_id string, body string").coalesce(1)
+    normal = statistics.normalise_documents(docs)
+    parts = {(r[0], r[1]) for r in normal.select("run_id", F.col("_metadata.file_path")).collect()}
+    assert len(parts) == 400 and len({p for _, p in parts}) > 1
+    good, bad = statistics.split_documents(normal)
+    plan = good._jdf.queryExecution().optimizedPlan().toString() + bad._jdf.queryExecution().optimizedPlan().toString()
+    assert "json" not in plan and good.count() == 400 and bad.count() == 0  # no filter parses anew
+
+
 def test_documents_from_files(spark, tmp_path):
     for name, (body, _) in GOOD.items():
         (tmp_path / f"{name}.json").write_text(body)
