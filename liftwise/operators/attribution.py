@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,12 +59,15 @@ NO_FILTERS = DesignFilters()
 class Design:
     """Runs and metric specs as plain frames; Spark decides by their bytes how to join them.
 
-    ``window`` spans all runs, to be pushed into the scans.
+    ``window`` spans all runs, to be pushed into the scans. ``shared`` is the
+    number of distinct (environment, flag, window) of the runs, if several runs
+    have the same on average, and 0 otherwise.
     """
 
     runs: DataFrame
     specs: DataFrame | None
     window: tuple[dt.date, dt.date] | None
+    shared: int = 0
 
     @property
     def metrics(self) -> DataFrame:
@@ -75,11 +78,12 @@ class Design:
 
 _RUN_COLUMNS = ("run_id", "env_id", "flag_key", "start_date", "end_date")
 _RUN_OPTIONS = ("method", "traffic_percent", "traffic_offset", "layer_id", "audience_filters", "experiment_id")
+_WINDOW = ("env_id", "flag_key", "from_ts", "until_ts")
 _SPEC_COLUMNS = ("run_id", "env_id", "metric_ord", "role", "event_name", "metric_type", "metric_agg", "inverse")
 
 
 def load_design(runs: DataFrame, specs: DataFrame | None = None) -> Design:
-    """Pick the columns the plans need; the only job is one aggregate row, the span of all runs.
+    """Pick the columns the plans need; the only job is one aggregate row, the span and number of all runs.
 
     ``runs`` needs run_id, env_id, flag_key, start_date, end_date and may carry
     the columns the optional filters use. ``specs`` comes from ``metric_specs``.
@@ -90,12 +94,15 @@ def load_design(runs: DataFrame, specs: DataFrame | None = None) -> Design:
         fl.day_start(F.date_add("end_date", 1)).alias("until_ts"),
     ]
     slim = runs.select(*_RUN_COLUMNS, *options, *bounds)
-    span = slim.agg(F.min("start_date"), F.max("end_date")).first()
+    span = slim.agg(
+        F.min("start_date"), F.max("end_date"), F.count("*").alias("rows"), F.count_distinct(F.struct(*_WINDOW)).alias("windows")
+    ).first()
     window = None if span[0] is None or span[1] is None else (span[0], span[1])
     if specs is None:
         return Design(slim, None, window)
     canonical = canonical_agg(F.col("metric_type"), F.col("metric_agg"))
-    return Design(slim, specs.select(*_SPEC_COLUMNS).withColumn("metric_agg", canonical), window)
+    windows = span["windows"] if 2 * span["windows"] <= span["rows"] else 0
+    return Design(slim, specs.select(*_SPEC_COLUMNS).withColumn("metric_agg", canonical), window, windows)
 
 
 def _scan(df: DataFrame, design: Design) -> DataFrame:
@@ -331,6 +338,67 @@ def variant_stats_from_exposures(
     return stats_of_sums(users, sums, design, by)
 
 
+#: Up to so many distinct windows are broadcast.
+BROADCAST_WINDOWS = 100_000
+
+
+def _repeated(design: Design) -> DataFrame:
+    """Ids of runs that are there more than once, or whose metrics are; their rows count together, whatever their windows."""
+    runs = design.runs.groupBy("run_id").count().where("count > 1").select("run_id")
+    specs = design.metrics.groupBy("run_id", "metric_ord").count().where("count > 1").select("run_id")
+    return runs.unionAll(specs).distinct()
+
+
+def _day_firsts(evals: DataFrame, design: Design) -> DataFrame:
+    """Per user and flag the first exposure of every day, with the instant of the one before it.
+
+    Windows are whole days, so no other evaluation can be the first in one.
+    """
+    known = _scan(evals, design).where(F.col("user_key").isNotNull() & F.col("timestamp").isNotNull())
+    keys = ["env_id", "flag_key", "user_key"]
+    rows = known.select(*keys, F.to_date("timestamp").alias("_day"), "variant", F.col("timestamp").alias("ts"))
+    earliest = rows.groupBy(*keys, "_day", "variant").agg(F.min("ts").alias("ts"))
+    first = earliest.groupBy(*keys, "_day").agg(F.min(F.struct("ts", "variant")).alias("x"))
+    before = F.lag("x.ts").over(Window.partitionBy(*keys).orderBy("_day"))
+    return first.select(*keys, F.col("x.variant").alias("variant"), F.col("x.ts").alias("exposure_ts"), before.alias("before_ts"))
+
+
+def _shared_window_stats(evals: DataFrame, events: DataFrame, design: Design) -> DataFrame:
+    """``variant_stats`` of a design whose runs share windows: computed by window, then given to the runs.
+
+    A user's first exposure of a day is the first in just those windows that
+    hold it and begin after the one before it. So exposures meet windows by a
+    comparison, only aggregates of them leave a task, and events meet the days
+    of their user, not the user's runs.
+    """
+    few = F.broadcast if design.shared <= BROADCAST_WINDOWS else (lambda df: df)
+    windows = few(design.runs.select(*_WINDOW).distinct())
+    is_first = (F.col("from_ts") <= F.col("exposure_ts")) & (F.col("exposure_ts") < F.col("until_ts")) & (
+        F.col("before_ts").isNull() | (F.col("before_ts") < F.col("from_ts"))
+    )
+    days = _day_firsts(evals, design)
+    users = days.join(windows, ["env_id", "flag_key"]).where(is_first).groupBy(*_WINDOW, "variant").agg(F.count("*").alias("users"))
+    users = users.join(design.runs.select("run_id", *_WINDOW), list(_WINDOW)).select("run_id", "variant", "users")
+
+    kind = F.coalesce("metric_agg", F.lit("average")).alias("_kind")
+    asked = design.runs.select("run_id", *_WINDOW).join(design.metrics.select("run_id", "metric_ord", "event_name", kind), "run_id")
+    metric = [*_WINDOW, "event_name", "_kind"]
+    asks = few(asked.select(*metric).distinct())
+    found = _scan(events, design).select(
+        "env_id", "user_key", "event_name", F.col("timestamp").alias("event_ts"), F.coalesce("numeric_value", F.lit(0.0)).alias("value")
+    )
+    found = found.join(design.metrics.select("env_id", "event_name"), ["env_id", "event_name"], "left_semi")
+    met = days.join(found, ["env_id", "user_key"]).where(F.col("event_ts") >= F.col("exposure_ts"))
+    met = met.join(asks, ["env_id", "flag_key", "event_name"]).where(is_first & (F.col("event_ts") < F.col("until_ts")))
+    totals = met.groupBy(*metric, "variant", "user_key").agg(F.count("*").alias("conv_count"), F.sum("value").alias("user_sum"))
+    x = contribution(F.col("_kind"), F.col("conv_count"), F.col("user_sum"))
+    sums = totals.withColumn("x", x).groupBy(*metric, "variant").agg(
+        F.count("*").alias("_conversions"), F.sum("x").alias("_sum"), F.sum(F.col("x") * F.col("x")).alias("_squares")
+    )
+    sums = sums.join(asked, metric).select("run_id", "metric_ord", "variant", "_conversions", "_sum", "_squares")
+    return stats_of_sums(users, sums, design)
+
+
 def variant_stats(
     evals: DataFrame,
     events: DataFrame,
@@ -339,6 +407,14 @@ def variant_stats(
     balanced: bool = False,
 ) -> DataFrame:
     """Sufficient statistics of all runs and metrics in one plan."""
+    if design.shared and options == NO_FILTERS and not balanced:
+        repeated = _repeated(design)
+        plain = replace(design, runs=design.runs.join(repeated, "run_id", "left_anti"))
+        stats = _shared_window_stats(evals, events, plain)
+        if repeated.isEmpty():
+            return stats
+        rest = replace(design, runs=design.runs.join(repeated, "run_id", "left_semi"), shared=0)
+        return stats.unionByName(variant_stats(evals, events, rest))
     exposures = first_exposures(evals, design, options)
     if balanced:
         exposures = balance_exposures(exposures, design)

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,25 @@ def test_large_design_is_joined_by_shuffle(spark):
     assert got == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_runs_that_share_windows_are_laid_out_by_window(spark):
+    """Forty copies of three runs, and one run given twice: the same statistics as run by run, and no row per run and user is shuffled."""
+    evals, events = made_up(8)
+    copies = [{**r, "run_id": f"{r['run_id']}-{i}"} for r in RUNS for i in range(40)]
+    twice = {**RUNS[0], "run_id": "twice", "observation_end": START + dt.timedelta(days=6)}
+    table = runs(spark, [*copies, RUNS[0] | {"run_id": "twice"}, twice])
+    design = at.load_design(table, metric_specs(table))
+    tables = spark.createDataFrame(evals, EVALS), spark.createDataFrame(events, EVENTS)
+    df = at.variant_stats(*tables, design)
+    columns = ["run_id", "metric_ord", "metric", "metric_agg", "variant", "users", "conversions", "sum_val", "sum_sq"]
+    got, by_run = (sorted(map(tuple, d.select(columns).collect())) for d in (df, at.variant_stats(*tables, replace(design, shared=0))))
+    assert [r[:7] for r in got] == [r[:7] for r in by_run] and [r[7:] for r in got] == [pytest.approx(r[7:]) for r in by_run]
+    cells = {(r[0], r[2], r[4]): list(r[5:]) for r in got if r[0] != "twice"}
+    assert cells == {(f"{run}-{i}", *k): pytest.approx(v) for (run, *k), v in expected(evals, events).items() for i in range(40)}
+    plain = at.load_design(runs(spark, copies), metric_specs(runs(spark, copies)))
+    plan = at.variant_stats(*tables, plain)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert design.shared == 4 and plain.shared == 3 and not any("hashpartitioning(run_id" in line and "user_key" in line for line in plan)
+
+
 def test_hot_user_is_split(spark):
     """One user with most of the events: the user join is split and stays exact."""
     evals, events = made_up(5, users=4000, hot="bot", hot_events=40000)
