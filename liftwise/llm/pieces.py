@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from liftwise.llm.textblocks import Block, blocks, byte_table, hash_spans, mix
 
 _EVERY = byte_table(b"", 401, fold=False)
-_BLOCK = 500_000
+#: For each bit of a word, the bits below it.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+#: A lattice holds some hundreds of bytes per byte of a block's distinct stretches; larger blocks are no faster.
+_BLOCK = 200_000
 #: Log-weight of one byte of a character that no piece covers.
 BYTE_WEIGHT = -12.0
 
@@ -50,7 +53,12 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 
 class _Trie:
-    """Pieces by prefix: child[node, class of byte] and the piece that ends at each node."""
+    """Pieces by prefix: a node's children by byte, and the piece that ends at each node.
+
+    Children of a node are numbered in a row, by byte; a node holds a bit per
+    byte, the number of its first child, and how many bits are set before each
+    of its four words.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         width = max(map(len, vocabulary.texts))
@@ -58,9 +66,6 @@ class _Trie:
         for i, t in enumerate(vocabulary.texts):
             table[i, : len(t)] = np.frombuffer(t, np.uint8)
         lengths = np.array([len(t) for t in vocabulary.texts])
-        used = np.unique(np.concatenate([np.frombuffer(t, np.uint8) for t in vocabulary.texts]))
-        self.classes = np.zeros(256, np.int32)
-        self.classes[used] = np.arange(1, len(used) + 1)
         node, parents, columns, total = np.zeros(len(lengths), np.int64), [], [], 1
         ends = np.full(len(lengths), -1)
         for level in range(width):
@@ -72,15 +77,27 @@ class _Trie:
             total += len(keys)
             done = live[lengths[live] == level + 1]
             ends[done] = node[done]
-        self.child = np.zeros((total, len(used) + 1), np.int32)
+        self.bits = np.zeros((total, 4), np.uint64)
+        self.first = np.zeros(total, np.int32)
         at = 1
         for above, byte in zip(parents, columns):
-            self.child[above, self.classes[byte]] = np.arange(at, at + len(above))
+            np.bitwise_or.at(self.bits, (above, byte >> 6), np.uint64(1) << (byte & 63).astype(np.uint64))
+            heads, first = np.unique(above, return_index=True)
+            self.first[heads] = at + first
             at += len(above)
+        counts = np.bitwise_count(self.bits).astype(np.int32)
+        self.rank = np.cumsum(counts, axis=1, dtype=np.int32) - counts
         self.piece = np.full(total, -1, np.int32)
         self.piece[ends] = np.arange(len(lengths))
         self.width = width
 
+    def child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The children of nodes by one byte each, 0 where there is none."""
+        at = node * 4 + (byte >> 6)
+        bits, bit = self.bits.reshape(-1)[at], (byte & 63).astype(np.uint64)
+        found = self.first[node] + self.rank.reshape(-1)[at] + np.bitwise_count(bits & _BELOW[bit])
+        return np.where((bits >> bit) & np.uint64(1), found, 0).astype(np.int32)
+
 
 class _Lattice:
     """All segmentations of distinct units (stretches that no piece crosses), forward-filtered.
@@ -105,7 +122,7 @@ class _Lattice:
         for length in range(1, trie.width + 1):
             fits = live + length <= last[live]
             live, node = live[fits], node[fits]
-            node = trie.child[node, trie.classes[text[live + length - 1]]]
+            node = trie.child(node, text[live + length - 1])
             live, node = live[node > 0], node[node > 0]
             if not len(live):
                 break
@@ -225,11 +242,11 @@ class _Decoder:
         return self.data[at], total[offsets]
 
 
-def _encode(vocabulary: Vocabulary, keep: list[str]):
+def _encode(vocabulary: Vocabulary, keep: list[str], text: str = "_text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, decoder = _Trie(vocabulary), _Decoder(vocabulary)
         for batch in batches:
-            for block in blocks(batch.column("_text"), _BLOCK):
+            for block in blocks(batch.column(text), _BLOCK):
                 rows = batch.slice(block.first, block.rows)
                 seeds = rows.column("_seed").to_numpy().astype(np.int64).view(np.uint64)
                 ids, offsets = sample_pieces(block, seeds, vocabulary, trie)
@@ -280,8 +297,10 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], key_
     """
     if clash := {"pieces", "n_pieces", "_text", "_seed"} & set(keep):
         raise ValueError(f"columns {sorted(clash)} are results; rename them first")
-    rows = docs.select(*keep, F.col(text_col).alias("_text"), F.xxhash64(F.lit(seed), F.col(key_col)).alias("_seed"))
-    return rows.mapInArrow(_encode(vocabulary, keep), f"{_kinds(docs, keep)}pieces array<int>, n_pieces long")
+    # A kept text is not sent to the tasks a second time.
+    own = [] if text_col in keep else [F.col(text_col).alias("_text")]
+    rows = docs.select(*keep, *own, F.xxhash64(F.lit(seed), F.col(key_col)).alias("_seed"))
+    return rows.mapInArrow(_encode(vocabulary, keep, "_text" if own else text_col), f"{_kinds(docs, keep)}pieces array<int>, n_pieces long")
 
 
 def decode_pieces(rows: DataFrame, vocabulary: Vocabulary, keep: list[str], pieces_col: str = "pieces") -> DataFrame:

@@ -1,9 +1,10 @@
 import collections
 import math
 
+import numpy as np
 import pytest
 
-from liftwise.llm.pieces import Vocabulary, decode_pieces, encode_pieces, load_vocabulary
+from liftwise.llm.pieces import Vocabulary, _Trie, decode_pieces, encode_pieces, load_vocabulary
 from liftwise.llm.queries import piece_model
 
 DATA = "/root/testdata/sf0.01"
@@ -61,3 +62,20 @@ def test_edge_rows(spark, vocabulary):
     assert encode_pieces(docs.limit(0), vocabulary, ["doc_id"]).count() == 0
     with pytest.raises(ValueError):
         encode_pieces(coded, vocabulary, ["pieces"])
+
+
+def test_a_task_holds_little_beside_its_block(spark, vocabulary):
+    """The trie takes a few MB, not a row of all bytes per node, and leads where the pieces say; a kept text goes to the task once."""
+    trie = _Trie(vocabulary)
+    assert sum(x.nbytes for x in vars(trie).values() if isinstance(x, np.ndarray)) < 8_000_000
+    prefixes = {t[:k] for t in vocabulary.texts for k in range(1, len(t) + 1)}
+    for piece, text in list(enumerate(vocabulary.texts))[::97]:
+        node = np.zeros(1, np.int32)
+        for k, byte in enumerate(text):
+            children = trie.child(np.repeat(node, 256), np.arange(256).astype(np.uint8))
+            assert {b for b in range(256) if children[b]} == {b for b in range(256) if text[:k] + bytes([b]) in prefixes}
+            node = children[byte : byte + 1]
+        assert trie.piece[node[0]] == piece
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    plans = {k: encode_pieces(docs, vocabulary, keep)._jdf.queryExecution().optimizedPlan().toString() for k, keep in (("kept", ["doc_id", "text"]), ("only read", ["doc_id"]))}
+    assert "AS _text" not in plans["kept"] and "AS _text" in plans["only read"]
