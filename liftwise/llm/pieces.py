@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from liftwise.llm.textblocks import Block, blocks, byte_table, hash_spans, mix
 
 _EVERY = byte_table(b"", 401, fold=False)
-#: For each bit of a word, the bits below it.
-_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 #: A lattice holds some hundreds of bytes per byte of a block's distinct stretches; larger blocks are no faster.
 _BLOCK = 200_000
 #: Log-weight of one byte of a character that no piece covers.
@@ -55,9 +53,8 @@ def load_vocabulary(path: str) -> Vocabulary:
 class _Trie:
     """Pieces by prefix: a node's children by byte, and the piece that ends at each node.
 
-    Children of a node are numbered in a row, by byte; a node holds a bit per
-    byte, the number of its first child, and how many bits are set before each
-    of its four words.
+    Children of a node are numbered in a row, by byte. A node holds a bit per
+    byte, in four words, and for each word the number that follows its children.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -77,26 +74,26 @@ class _Trie:
             total += len(keys)
             done = live[lengths[live] == level + 1]
             ends[done] = node[done]
-        self.bits = np.zeros((total, 4), np.uint64)
-        self.first = np.zeros(total, np.int32)
+        bits = np.zeros((total, 4), np.uint64)
+        first = np.zeros(total, np.int64)
         at = 1
         for above, byte in zip(parents, columns):
-            np.bitwise_or.at(self.bits, (above, byte >> 6), np.uint64(1) << (byte & 63).astype(np.uint64))
-            heads, first = np.unique(above, return_index=True)
-            self.first[heads] = at + first
+            np.bitwise_or.at(bits, (above, byte >> 6), np.uint64(1) << (byte & 63).astype(np.uint64))
+            heads, begin = np.unique(above, return_index=True)
+            first[heads] = at + begin
             at += len(above)
-        counts = np.bitwise_count(self.bits).astype(np.int32)
-        self.rank = np.cumsum(counts, axis=1, dtype=np.int32) - counts
+        self.bits = bits.reshape(-1)
+        self.past = (first[:, None] + np.cumsum(np.bitwise_count(bits), axis=1, dtype=np.int64)).astype(np.int32).reshape(-1)
         self.piece = np.full(total, -1, np.int32)
         self.piece[ends] = np.arange(len(lengths))
         self.width = width
 
-    def child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The children of nodes by one byte each, 0 where there is none."""
-        at = node * 4 + (byte >> 6)
-        bits, bit = self.bits.reshape(-1)[at], (byte & 63).astype(np.uint64)
-        found = self.first[node] + self.rank.reshape(-1)[at] + np.bitwise_count(bits & _BELOW[bit])
-        return np.where((bits >> bit) & np.uint64(1), found, 0).astype(np.int32)
+    def children(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the nodes have a child by their byte, and these children."""
+        at = node * np.int32(4) + (byte >> 6)
+        upward = self.bits[at] >> (byte & 63)
+        on = np.flatnonzero(upward & np.uint64(1))
+        return on, self.past[at[on]] - np.bitwise_count(upward[on])
 
 
 class _Lattice:
@@ -122,8 +119,8 @@ class _Lattice:
         for length in range(1, trie.width + 1):
             fits = live + length <= last[live]
             live, node = live[fits], node[fits]
-            node = trie.child(node, text[live + length - 1])
-            live, node = live[node > 0], node[node > 0]
+            on, node = trie.children(node, text[live + length - 1])
+            live = live[on]
             if not len(live):
                 break
             piece = trie.piece[node]

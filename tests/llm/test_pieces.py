@@ -72,9 +72,9 @@ def test_a_task_holds_little_beside_its_block(spark, vocabulary):
     for piece, text in list(enumerate(vocabulary.texts))[::97]:
         node = np.zeros(1, np.int32)
         for k, byte in enumerate(text):
-            children = trie.child(np.repeat(node, 256), np.arange(256).astype(np.uint8))
-            assert {b for b in range(256) if children[b]} == {b for b in range(256) if text[:k] + bytes([b]) in prefixes}
-            node = children[byte : byte + 1]
+            on, children = trie.children(np.repeat(node, 256), np.arange(256).astype(np.uint8))
+            assert set(on) == {b for b in range(256) if text[:k] + bytes([b]) in prefixes}
+            node = children[on == byte]
         assert trie.piece[node[0]] == piece
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     plans = {k: encode_pieces(docs, vocabulary, keep)._jdf.queryExecution().optimizedPlan().toString() for k, keep in (("kept", ["doc_id", "text"]), ("only read", ["doc_id"]))}
